@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import abuse, leakage, mixture, splits, stuffing
+from threadloom.llm import abuse, leakage, mixture, pii, splits, stuffing
 from threadloom.sources.tables import table
 
 
@@ -23,6 +23,15 @@ def p1_sentences(spark: SparkSession, root: str) -> DataFrame:
     return scored.filter(F.col("score") > abuse.THRESHOLD)
 
 
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return pii.found(pii.find_details(table(spark, root, "comments")))
+
+
+def p2_redacted(spark: SparkSession, root: str) -> DataFrame:
+    comments = table(spark, root, "comments")
+    return pii.redact(comments, pii.find_details(comments))
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return splits.tied_groups(table(spark, root, "candidate_pairs"))
 
@@ -64,7 +73,7 @@ def p9_scores(spark: SparkSession, root: str) -> DataFrame:
     return stuffing.score_pages(table(spark, root, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p1_sentences, p6_found, p6_splits, p6_shares, p7_found, p7_items, p8_mixture, p8_shares, p9_found, p9_scores)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p1_sentences, p2_found, p2_redacted, p6_found, p6_splits, p6_shares, p7_found, p7_items, p8_mixture, p8_shares, p9_found, p9_scores)}
 
 _ID = "nullif(regexp_replace(lower(trim({})), '^t[13]_', ''), '')"
 _WHO = "CASE WHEN lower(trim({0})) NOT IN ('', '[deleted]', 'automoderator') THEN 'a:' || lower(trim({0})) END"
