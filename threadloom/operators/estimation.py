@@ -76,7 +76,8 @@ class Fit:
 
     def statistics(self) -> dict:
         k = len(self.beta)
-        return {"n": self.n, "log_likelihood": self.log_likelihood, "aic": 2 * k - 2 * self.log_likelihood, "bic": k * math.log(max(self.n, 1)) - 2 * self.log_likelihood, "mcfadden": 1 - self.log_likelihood / self.null_log_likelihood if self.null_log_likelihood else float("nan"), "converged": self.converged}
+        ll, null = float(self.log_likelihood), float(self.null_log_likelihood)
+        return {"n": self.n, "log_likelihood": ll, "aic": 2 * k - 2 * ll, "bic": k * math.log(max(self.n, 1)) - 2 * ll, "mcfadden": 1 - ll / null if null else float("nan"), "converged": self.converged}
 
 
 def _sum(df: DataFrame, part, size: int) -> np.ndarray:
@@ -217,6 +218,7 @@ def contrast(df: DataFrame, design: Design, fit: Fit, scenarios: Sequence[tuple[
         value, grad = value + weight * p, grad + weight * g
     var = float(grad @ fit.covariance @ grad)
     se = math.sqrt(var) if var >= 0 else float("nan")
+    value = float(value)
     return {"estimate": value, "se": se, "low": value - 1.96 * se, "high": value + 1.96 * se}
 
 
