@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from threadloom.functions.text import safe_div
 from threadloom.operators.history import DAY, pair_history
 from threadloom.operators.records import EARLY, in_order
+from threadloom.runtime import Scratch
 
 
 def context_split(recs: DataFrame, window: str = "comments", value: float = EARLY, horizon_days: float = 7.0) -> DataFrame:
@@ -62,8 +63,9 @@ def first_responses(split: DataFrame) -> DataFrame:
 
 def cohort(recs: DataFrame, window: str = "comments", value: float = EARLY, horizon_days: float = 7.0, min_prior: int = 2, min_days: float = 7.0) -> DataFrame:
     """The analysis frame: first responses of later entrants with early context and own history."""
-    history = pair_history(recs)
-    split = context_split(recs, window, value, horizon_days)
+    scratch = Scratch(recs.sparkSession, "cohort")
+    history = scratch.keep(pair_history(recs))
+    split = scratch.keep(context_split(recs, window, value, horizon_days))
     first = first_responses(split).select(
         "submission_id", "author", "comment_id", "subreddit", "grp", F.col("pred").alias("response"), F.col("score").alias("response_score"), F.col("pair_count").alias("response_pairs"), F.col("words").alias("response_words"),
         ((F.col("created_utc") - F.col("thread_start")) / 3600.0).alias("delay_hours"),
@@ -75,7 +77,7 @@ def cohort(recs: DataFrame, window: str = "comments", value: float = EARLY, hori
 def funnel(recs: DataFrame, window: str = "comments", value: float = EARLY, horizon_days: float = 7.0, min_prior: int = 2, min_days: float = 7.0) -> DataFrame:
     """stage, rows: how many threads and responses each step leaves."""
     r = recs.filter(F.col("author").isNotNull())
-    split = context_split(recs, window, value, horizon_days)
+    split = Scratch(recs.sparkSession, "funnel").keep(context_split(recs, window, value, horizon_days))
     first = first_responses(split)
     history = pair_history(recs).select("submission_id", "author", "prior_comments", "history_days")
     ok = (F.col("prior_comments") >= min_prior) & (F.col("history_days") >= min_days)

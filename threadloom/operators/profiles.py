@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.text import safe_div
 from threadloom.operators.records import EARLY, cue, dominant, entropy_by, in_order
+from threadloom.runtime import Scratch
 
 HIGH_PARTICIPATION = 20
 
@@ -83,7 +84,7 @@ def cue_entropies(recs: DataFrame, early_n: int = EARLY) -> DataFrame:
 
 def climate(recs: DataFrame, early_n: int = EARLY) -> DataFrame:
     """The full thread climate profile."""
-    users = user_profiles(recs)
+    users = Scratch(recs.sparkSession, "users").keep(user_profiles(recs))
     t = thread_profiles(recs, early_n)
     parts = [cue_entropies(recs, early_n), reply_profiles(recs), audience(recs, users, "audience"), audience(in_order(recs).filter(F.col("rank") <= early_n), users, "early_audience")]
     out = reduce(lambda a, b: a.join(b, "submission_id", "left"), parts, t)

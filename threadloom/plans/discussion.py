@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import keys, lexicon, text
 from threadloom.operators import cohort, history, metrics, pairs, profiles, sampling, sets
 from threadloom.operators.records import comment_records, in_order, records
+from threadloom.runtime import Scratch
 from threadloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +24,11 @@ def recs(spark: SparkSession, root: str) -> DataFrame:
     return records(table(spark, root, "comments"), table(spark, root, "comment_predictions"))
 
 
+def kept(spark: SparkSession, root: str) -> DataFrame:
+    """The records without texts, written once: for operators that read them several times."""
+    return Scratch(spark, "records").keep(recs(spark, root).drop("body", "title"))
+
+
 def rounded(df: DataFrame) -> DataFrame:
     """Doubles to six places (the order of summation differs between engines)."""
     return df.select(*[(F.round(c, 6) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
@@ -145,7 +151,7 @@ def standard_comments(spark, root):
 
 @query("WITH {USERS}\n>>SELECT * FROM users", U_D, U_L)
 def user_profile(spark, root):
-    return profiles.user_profiles(recs(spark, root))
+    return profiles.user_profiles(kept(spark, root))
 
 
 @query("WITH {THREADS}\n>>SELECT * FROM thread", T_D, T_L)
@@ -170,7 +176,7 @@ def raw_thread_profile(spark, root):
     "hostile_reply_rate", "hostile_replies",
 )
 def reply_to_correction(spark, root):
-    return profiles.reply_profiles(recs(spark, root))
+    return profiles.reply_profiles(kept(spark, root))
 
 
 @query(
@@ -181,7 +187,7 @@ b AS (SELECT submission_id, -sum(p * ln(p)) AS e FROM (SELECT submission_id, n /
     "cue_entropy early_cue_entropy",
 )
 def cue_entropy(spark, root):
-    return profiles.cue_entropies(recs(spark, root))
+    return profiles.cue_entropies(kept(spark, root))
 
 
 def _audience_sql(where: str, p: str) -> str:
@@ -197,20 +203,20 @@ _A_D = "{0}_cross_group_share {0}_cross_subreddit_share {0}_mean_group_entropy {
 
 @query(_audience_sql("", "audience"), _A_D.format("audience"))
 def audience_metrics(spark, root):
-    r = recs(spark, root)
+    r = kept(spark, root)
     return profiles.audience(r, profiles.user_profiles(r), "audience")
 
 
 @query(_audience_sql(" AND rank <= 10", "early_audience"), _A_D.format("early_audience"))
 def early_audience_metrics(spark, root):
-    r = recs(spark, root)
+    r = kept(spark, root)
     return profiles.audience(in_order(r).filter(F.col("rank") <= 10), profiles.user_profiles(r), "early_audience")
 
 
 @query()
 def thread_climate(spark, root):
     """The full climate profile with its flags (its parts have their own SQL)."""
-    return profiles.climate_flags(profiles.climate(recs(spark, root)))
+    return profiles.climate_flags(profiles.climate(kept(spark, root)))
 
 
 @query(
@@ -250,7 +256,7 @@ inst2 AS (SELECT inst.*, (corrections > 0)::INT AS corrected, (later_corrections
 
 @query(f"WITH {INST}\n>>SELECT * FROM inst2", "", "corrections later_corrections")
 def thread_author_instances(spark, root):
-    return profiles.instances(recs(spark, root))
+    return profiles.instances(kept(spark, root))
 
 
 @query(
@@ -259,7 +265,7 @@ def thread_author_instances(spark, root):
     "rate intensity", "positives comments corrections",
 )
 def instance_grouping_sets(spark, root):
-    return profiles.instance_sets(profiles.instances(recs(spark, root)), [[], ["grp"], ["subreddit"], ["cross_group"], ["cross_group", "grp"]]).drop("set_id")
+    return profiles.instance_sets(profiles.instances(kept(spark, root)), [[], ["grp"], ["subreddit"], ["cross_group"], ["cross_group", "grp"]]).drop("set_id")
 
 
 @query(
@@ -271,7 +277,7 @@ c AS (SELECT *, 'all' AS context FROM l UNION ALL SELECT *, 'group:' || grp FROM
     "rate_with rate_without difference", "positives_with positives_without",
 )
 def cross_group_contrast(spark, root):
-    return profiles.cross_contrasts(profiles.instances(recs(spark, root)))
+    return profiles.cross_contrasts(profiles.instances(kept(spark, root)))
 
 
 @query(
@@ -286,7 +292,7 @@ def noisy_or_scores(spark, root):
 
 @query("WITH {HIST}\n>>SELECT * FROM history", "thread_start prior_rate history_days", "prior_corrections")
 def pair_history(spark, root):
-    return history.pair_history(recs(spark, root))
+    return history.pair_history(kept(spark, root))
 
 
 @query(
@@ -319,7 +325,7 @@ p AS (SELECT a.submission_id, a.author, count(b.author) AS n, coalesce(sum(b.see
     "prior_seen_correction_rate prior_seen_hostility_rate prior_exposed_share prior_opened_share prior_mean_seen",
 )
 def prior_context(spark, root):
-    return history.prior_contexts(recs(spark, root))
+    return history.prior_contexts(kept(spark, root))
 
 
 @query("WITH {SPLIT}\n>>SELECT comment_id, submission_id, side, cutoff FROM split", "cutoff")
@@ -338,7 +344,7 @@ def context_split_hours(spark, root):
 
 @query("WITH {SPLIT}\n>>SELECT * FROM feat", F_D)
 def early_features(spark, root):
-    r = recs(spark, root)
+    r = kept(spark, root)
     return cohort.early_features(cohort.context_split(r), history.pair_history(r))
 
 
@@ -349,7 +355,7 @@ def early_features(spark, root):
     "response_score delay_hours prior_rate history_days " + F_D, "prior_corrections",
 )
 def first_response_cohort(spark, root):
-    return cohort.cohort(recs(spark, root))
+    return cohort.cohort(kept(spark, root))
 
 
 @query(
@@ -359,7 +365,7 @@ def first_response_cohort(spark, root):
  UNION ALL SELECT 'analysis_responses', count(*) FROM ent JOIN history USING (submission_id, author) WHERE prior_comments >= 2 AND history_days >= 7""",
 )
 def sample_flow(spark, root):
-    return cohort.funnel(recs(spark, root))
+    return cohort.funnel(kept(spark, root))
 
 
 @query(

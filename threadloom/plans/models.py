@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.operators import cohort, estimation, history, modeling, profiles, simulation
 from threadloom.operators.hierarchy import comment_hierarchy, descendants
-from threadloom.plans.discussion import CTE, recs, rounded
+from threadloom.plans.discussion import CTE, kept, recs, rounded
 from threadloom.runtime import Scratch
 from threadloom.sources.tables import table
 from threadloom.streaming import threads
@@ -15,11 +15,11 @@ from threadloom.streaming import threads
 
 def _frame(spark: SparkSession, root: str) -> DataFrame:
     """Predicted comments with the author's history and the thread's early context."""
-    r = recs(spark, root)
+    r = kept(spark, root)
     h = history.pair_history(r)
     f = r.filter(F.col("author").isNotNull()).join(h.select("submission_id", "author", "prior_comments", "prior_cross_group", "prior_rate"), ["submission_id", "author"])
-    kept = f.select("comment_id", "submission_id", "author", "grp", "pred", "score", "hostile", F.log1p("words").alias("log_words"), F.log1p("prior_comments").alias("log_prior"), "prior_cross_group")
-    return Scratch(spark, "design").keep(kept)
+    shaped = f.select("comment_id", "submission_id", "author", "grp", "pred", "score", "hostile", F.log1p("words").alias("log_words"), F.log1p("prior_comments").alias("log_prior"), "prior_cross_group")
+    return Scratch(spark, "design").keep(shaped)
 
 
 def _design(frame: DataFrame) -> estimation.Design:
@@ -76,7 +76,7 @@ def leave_one_group_out(spark: SparkSession, root: str) -> DataFrame:
 
 def window_sensitivity(spark: SparkSession, root: str) -> DataFrame:
     """First responses and their rate over a grid of early windows."""
-    r = Scratch(spark, "records").keep(recs(spark, root))
+    r = kept(spark, root)
     out = None
     for window, value in (("comments", 3.0), ("comments", 5.0), ("comments", 10.0), ("hours", 6.0), ("hours", 24.0)):
         first = cohort.first_responses(cohort.context_split(r, window, value))
