@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import safe_div
@@ -19,21 +19,21 @@ def context_split(recs: DataFrame, window: str = "comments", value: float = EARL
     up to the cutoff, later after it.
     """
     r = in_order(recs.filter(F.col("author").isNotNull())).filter(F.col("created_utc") <= F.col("thread_start") + horizon_days * DAY)
-    thread = Window.partitionBy("submission_id")
     if window == "comments":
-        r = r.withColumn("cutoff", F.max(F.when(F.col("rank") == int(value), F.col("created_utc"))).over(thread))
-        early = F.col("rank") <= int(value)
+        n = int(value)
+        cut = F.max(F.when(F.col("rank") == n, F.col("created_utc")))
+        side = F.when(F.col("rank") <= n, "early").when(F.col("created_utc") > F.col("cutoff"), "later")
     elif window == "hours":
         if value * 3600.0 >= horizon_days * DAY:
             return r.limit(0).withColumns({"cutoff": F.lit(None).cast("double"), "side": F.lit(None).cast("string")})
-        r = r.withColumn("cutoff", F.col("thread_start") + value * 3600.0)
-        early = F.col("created_utc") <= F.col("cutoff")
+        cut = F.min("thread_start") + value * 3600.0
+        side = F.when(F.col("created_utc") <= F.col("cutoff"), "early").otherwise("later")
     else:
         raise ValueError(f"unknown window {window}")
-    side = F.when(early, "early").when(F.col("created_utc") > F.col("cutoff"), "later")
-    r = r.filter(F.col("cutoff").isNotNull()).withColumn("side", side).filter(F.col("side").isNotNull())
-    sides = F.max(F.col("side") == "later").over(thread) & F.max(F.col("side") == "early").over(thread)
-    return r.withColumn("_both", sides).filter("_both").drop("_both")
+    # Cutoffs and the last row's time are aggregates joined back, one row a thread: no window holds a thread.
+    per = r.groupBy("submission_id").agg(cut.alias("cutoff"), F.max("created_utc").alias("_end"), F.min("created_utc").alias("_begin"))
+    both = per.filter(F.col("cutoff").isNotNull() & (F.col("_end") > F.col("cutoff")) & (F.col("_begin") <= F.col("cutoff")))
+    return r.join(both.select("submission_id", "cutoff"), "submission_id").withColumn("side", side).filter(F.col("side").isNotNull())
 
 
 def early_features(split: DataFrame, history: DataFrame, window: str = "comments") -> DataFrame:
@@ -57,8 +57,9 @@ def first_responses(split: DataFrame) -> DataFrame:
     """The first later row of each author who was not early in the thread."""
     early = split.filter(F.col("side") == "early").select("submission_id", "author").distinct()
     late = split.filter(F.col("side") == "later").join(early, ["submission_id", "author"], "left_anti")
-    w = Window.partitionBy("submission_id", "author").orderBy("created_utc", "comment_id")
-    return late.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
+    cols = [c for c in late.columns if c not in ("submission_id", "author")]
+    one = late.groupBy("submission_id", "author").agg(F.min_by(F.struct(*cols), F.struct("created_utc", "comment_id")).alias("_r"))
+    return one.select("submission_id", "author", "_r.*")
 
 
 def cohort(recs: DataFrame, window: str = "comments", value: float = EARLY, horizon_days: float = 7.0, min_prior: int = 2, min_days: float = 7.0) -> DataFrame:

@@ -11,10 +11,20 @@ from threadloom.functions.text import pair_id
 from threadloom.operators.records import in_order
 
 
-def nearest_prior_claim(recs: DataFrame, is_claim: F.Column) -> DataFrame:
-    """comment_id, claim_id: the last earlier comment of the thread that is a claim, null if none."""
-    w = Window.partitionBy("submission_id").orderBy("created_utc", "comment_id").rowsBetween(Window.unboundedPreceding, -1)
-    return recs.select("submission_id", "comment_id", F.last(F.when(is_claim, F.col("comment_id")), ignorenulls=True).over(w).alias("claim_id"))
+def nearest_prior_claim(recs: DataFrame, is_claim: F.Column, slice_seconds: float = 86400.0) -> DataFrame:
+    """comment_id, claim_id: the last earlier comment of the thread that is a claim, null if none.
+
+    Two-level: a window within a thread's time slice; where it finds none, the
+    last claim of the slices before, from one row a slice.
+    """
+    r = recs.select("submission_id", "comment_id", "created_utc", F.when(is_claim, F.col("comment_id")).alias("_claim"), F.floor(F.col("created_utc") / slice_seconds).alias("_slice"))
+    last = F.max(F.when(F.col("_claim").isNotNull(), F.struct("created_utc", "comment_id")))
+    per = r.groupBy("submission_id", "_slice").agg(last.alias("_last"))
+    back = Window.partitionBy("submission_id").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("submission_id", "_slice", F.last("_last.comment_id", ignorenulls=True).over(back).alias("_before"))
+    w = Window.partitionBy("submission_id", "_slice").orderBy("created_utc", "comment_id").rowsBetween(Window.unboundedPreceding, -1)
+    inner = r.withColumn("_in", F.last("_claim", ignorenulls=True).over(w))
+    return inner.join(per, ["submission_id", "_slice"]).select("submission_id", "comment_id", F.coalesce("_in", "_before").alias("claim_id"))
 
 
 def parent_context(recs: DataFrame) -> DataFrame:

@@ -46,10 +46,21 @@ def records(comments: DataFrame, preds: DataFrame) -> DataFrame:
     )
 
 
-def in_order(frame: DataFrame) -> DataFrame:
-    """Adds rank (from 1 within the thread by time, then id) and thread_start."""
-    w = Window.partitionBy("submission_id").orderBy("created_utc", "comment_id")
-    return frame.withColumn("rank", F.row_number().over(w)).withColumn("thread_start", F.min("created_utc").over(Window.partitionBy("submission_id")))
+def in_order(frame: DataFrame, slice_seconds: float = 86400.0) -> DataFrame:
+    """Adds rank (from 1 within the thread by time, then id) and thread_start.
+
+    Ranks are two-level: a window within a thread's time slice, plus the running
+    count of its earlier slices, so a thread with a third of all rows is in as many
+    tasks as it has slices.
+    """
+    f = frame.withColumn("_slice", F.floor(F.col("created_utc") / slice_seconds))
+    per = f.groupBy("submission_id", "_slice").agg(F.count(F.lit(1)).alias("_n"), F.min("created_utc").alias("_first"))
+    thread = Window.partitionBy("submission_id")
+    before = F.coalesce(F.sum("_n").over(thread.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = per.select("submission_id", "_slice", before.alias("_before"), F.min("_first").over(thread).alias("thread_start"))
+    inner = F.row_number().over(Window.partitionBy("submission_id", "_slice").orderBy("created_utc", "comment_id"))
+    ranked = f.withColumn("_k", inner).join(offsets, ["submission_id", "_slice"])
+    return ranked.select(*[F.col(c) for c in frame.columns], (F.col("_k") + F.col("_before")).alias("rank"), "thread_start")
 
 
 def cue() -> F.Column:

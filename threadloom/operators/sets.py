@@ -12,8 +12,10 @@ def union_first_wins(frames: list[DataFrame], keys: list[str], order: str) -> Da
     """Rows of all frames in order; of rows with one key the first frame's first row. Rows without a key all stay."""
     key = F.coalesce(*[F.when(F.trim(F.col(k).cast("string")) != "", F.trim(F.col(k).cast("string"))) for k in keys])
     u = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [f.withColumn("_file", F.lit(i)) for i, f in enumerate(frames)]).withColumn("_key", key)
+    # Rows without a key are set apart: they would all meet in one window.
     w = Window.partitionBy("_key").orderBy("_file", order)
-    return u.withColumn("_k", F.row_number().over(w)).filter(F.col("_key").isNull() | (F.col("_k") == 1)).select(frames[0].columns)
+    first = u.filter(F.col("_key").isNotNull()).withColumn("_k", F.row_number().over(w)).filter(F.col("_k") == 1)
+    return first.select(frames[0].columns).unionByName(u.filter(F.col("_key").isNull()).select(frames[0].columns))
 
 
 def keep_one(df: DataFrame, keys: list[str], order: list[F.Column]) -> DataFrame:
