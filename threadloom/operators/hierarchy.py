@@ -20,8 +20,9 @@ levels. Instead:
 
 All state is written to the shared folder between rounds, so plans stay short and
 survive lost executors. Pointers are a function (one parent a node), so no join
-multiplies rows; a parent with a third of all rows as children is on the unique
-side of the join, and its children spread by their own ids wherever that matters.
+multiplies rows. The children of a parent with very many meet in one partition of
+the first joins; as the other side is unique, adaptive execution splits such a
+partition (``spark.sql.adaptive.skewJoin``), and no child walks it twice.
 """
 
 from __future__ import annotations
