@@ -86,6 +86,28 @@ def test_hierarchy_deep_chain_and_self_parent(spark):
     assert {(r.comment_id, r.kind, r.cycle_id) for r in h.filter("kind <> 'tree'").collect()} == {("x", "cycle", "x"), ("y", "below_cycle", None), ("p", "cycle", "p"), ("q", "cycle", "p")}
 
 
+def test_every_path(spark, rows, tmp_path):
+    """Open chains and cycles have paths and descendants too."""
+    from threadloom.plans import core
+
+    for seed, n in ((4, 60), (5, 300)):
+        data = random_tree(seed, n) + [("x", "x", "s", 1, 0.0, ""), ("u", "absent", "s", 1, 0.0, ""), ("v", "u", "s", 1, 0.0, "")]
+        data += [(f"r{k}", f"r{(k + 1) % 7}", "s", 1, 0.0, "") for k in range(7)] + [("b0", "r3", "s", 1, 0.0, ""), ("b1", "b0", "s", 1, 0.0, "")]
+        _, want = brute(data)
+        parent = {c: (p or "").replace("t1_", "") or None for c, p, *_ in data}
+        for i in parent.keys() - want.keys():
+            path = [i]
+            while parent.get(path[0]) in parent and parent[path[0]] not in path:
+                path.insert(0, parent[path[0]])
+            want[i] = path
+        frame(spark, data).write.parquet(f"{tmp_path}/{seed}/comments.parquet")
+        got = core.p4_paths(spark, f"{tmp_path}/{seed}").collect()
+        assert {r.comment_id: list(r.path) for r in got} == want
+        assert all((r.depth is None) == (r.kind != "tree") for r in got)
+        down = [(a, d, len(p) - 1 - k) for d, p in want.items() for k, a in enumerate(p[:-1])]
+        assert sorted(map(tuple, core.p4_descendants(spark, f"{tmp_path}/{seed}").collect())) == sorted(down)
+
+
 def test_hierarchy_empty_and_null(spark):
     assert hierarchy.comment_hierarchy(frame(spark, [])).count() == 0
     got = hierarchy.comment_hierarchy(frame(spark, [(None, "a", "s", 1, 0.0, ""), ("a", "", None, None, None, None)])).collect()

@@ -118,14 +118,30 @@ def _cycles(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return edges.select("id").join(ring.select("id", F.col("low").alias("cycle_id")), "id", "left").select("id", F.col("cycle_id").isNotNull().alias("on_cycle"), "cycle_id")
 
 
-def resolve(nodes: DataFrame, scratch: Scratch, split: int = SPLIT, with_paths: bool = True) -> Hierarchy:
+def _cycle_paths(rest: DataFrame, rings: DataFrame, scratch: Scratch, split: int) -> DataFrame:
+    """id, path of nodes on or below cycles: every ancestor once, the nearest last, then the node.
+
+    Without the parent of its smallest id each cycle is a chain, and all nodes
+    that run into it make a tree below that id. What that tree's path lacks are
+    the cycle's ids between the node (or where its chain enters) and the cut.
+    """
+    low = rings.filter("on_cycle").select("id", "cycle_id")
+    cut = scratch.keep(rest.join(low, "id", "left").select("id", F.when(F.col("cycle_id").isNull() | (F.col("id") != F.col("cycle_id")), F.col("parent")).alias("parent")))
+    tree = scratch.keep(resolve(cut, scratch, split).nodes.select("id", "top", "height", "path"))
+    whole = tree.join(low.select("id"), "id", "left_semi").groupBy("top").agg(F.max_by("path", "height").alias("_ring"))
+    shared = F.size(F.array_intersect("path", "_ring"))
+    return tree.join(whole, "top").select("id", F.concat(F.slice("_ring", shared + 1, F.size("_ring")), "path").alias("path"))
+
+
+def resolve(nodes: DataFrame, scratch: Scratch, split: int = SPLIT, with_paths: bool = True, cycle_paths: bool = False) -> Hierarchy:
     """Depth, top and path of every node of a parent table.
 
     nodes: ``id`` (unique, not null) and ``parent`` (null, or an id that may or
     may not be in the table). Result columns: id, parent, kind (``tree``,
     ``cycle`` or ``below_cycle``), top (highest ancestor in the table, itself if
     its parent is no node), height (steps to the top, null with cycles), path
-    (ids from the top to the node, null with cycles; only ``with_paths``),
+    (ids from the top to the node; only ``with_paths``; with cycles null, or if
+    ``cycle_paths`` every ancestor once, the nearest last, then the node),
     cycle_id. A node that is its own parent is a cycle of one.
     """
     nodes = nodes.select("id", "parent")
@@ -170,6 +186,10 @@ def resolve(nodes: DataFrame, scratch: Scratch, split: int = SPLIT, with_paths:
     if n_endless or n_stuck or n_cyclic:
         rest = scratch.keep(edges.join(tree.select("id"), "id", "left_anti"))
         rings = _cycles(rest, scratch)
+        if with_paths and cycle_paths:
+            rings = scratch.keep(rings)
+            rings = rings.join(_cycle_paths(rest, rings, scratch, split), "id")
+            none = [F.col("path")]
         named = named.unionByName(rings.select("id", F.when(F.col("on_cycle"), "cycle").otherwise("below_cycle").alias("kind"), F.lit(None).cast("string").alias("top"), F.lit(None).cast("int").alias("height"), *none, "cycle_id"))
     return Hierarchy(named, edges, with_paths)
 
@@ -204,12 +224,14 @@ def comment_nodes(comments: DataFrame) -> DataFrame:
     return one.select("id", F.when(~F.col("at_submission"), F.col("p")).alias("parent"), F.coalesce("at_submission", F.lit(False)).alias("at_submission"), F.when(F.col("at_submission"), F.col("p")).alias("root_submission"), "submission", "level", F.col("p").isNotNull().alias("has_parent"))
 
 
-def comment_hierarchy(comments: DataFrame, split: int = SPLIT, with_paths: bool = True) -> DataFrame:
+def comment_hierarchy(comments: DataFrame, split: int = SPLIT, with_paths: bool = True, every_path: bool = False) -> DataFrame:
     """Path, depth and root of every comment, with cycles named.
 
     Columns: comment_id, parent_id, kind, depth (1 under a submission; null where
     the chain does not end at one), root_submission, top_comment, cycle_id,
-    level, and ``path`` (root submission first) if ``with_paths``.
+    level, and ``path`` (root submission first) if ``with_paths``. Other chains
+    have a path only if ``every_path``: open ones from their top comment in the
+    table; on or below a cycle every ancestor once, the nearest last, then the comment.
 
     Nulls: a comment without parent_id, or whose chain ends at an absent comment,
     is of kind ``open`` and has no depth. Empty input gives an empty result. Rows
@@ -217,11 +239,12 @@ def comment_hierarchy(comments: DataFrame, split: int = SPLIT, with_paths: bool
     """
     scratch = Scratch(comments.sparkSession, "hierarchy")
     nodes = scratch.keep(comment_nodes(comments))
-    tree = resolve(nodes, scratch, split, with_paths).nodes
+    tree = resolve(nodes, scratch, split, with_paths, every_path).nodes
     tops = nodes.filter("at_submission").select(F.col("id").alias("top"), F.col("root_submission").alias("_root"))
     out = tree.join(tops, "top", "left").join(nodes.select("id", "parent", "level"), "id")
     ends = F.col("_root").isNotNull()
-    path = [F.when(ends, F.concat(F.array("_root"), "path")).alias("path")] if with_paths else []
+    rooted = F.when(ends, F.concat(F.array("_root"), "path"))
+    path = [(rooted.otherwise(F.col("path")) if every_path else rooted).alias("path")] if with_paths else []
     return out.select(
         F.col("id").alias("comment_id"), F.col("parent").alias("parent_id"),
         F.when(F.col("kind") != "tree", F.col("kind")).when(ends, "tree").otherwise("open").alias("kind"),
@@ -233,7 +256,7 @@ def comment_hierarchy(comments: DataFrame, split: int = SPLIT, with_paths: bool
 def descendants(hierarchy: DataFrame) -> DataFrame:
     """ancestor_id, descendant_id, distance: every pair on a path, submissions included as ancestors.
 
-    The result is as large as the sum of all depths, which is what was asked for.
+    On cycles the distance is the shortest, and no comment is its own descendant. The result is as large as the sum of all depths, which is what was asked for.
     """
     e = hierarchy.filter(F.col("path").isNotNull()).select(F.col("comment_id").alias("descendant_id"), F.size("path").alias("_n"), F.posexplode("path").alias("_pos", "ancestor_id"))
     return e.filter(F.col("_pos") < F.col("_n") - 1).select("ancestor_id", "descendant_id", (F.col("_n") - 1 - F.col("_pos")).cast("bigint").alias("distance"))

@@ -35,11 +35,11 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p4_paths(spark: SparkSession, root: str) -> DataFrame:
-    return hierarchy.comment_hierarchy(table(spark, root, "comments"))
+    return hierarchy.comment_hierarchy(table(spark, root, "comments"), every_path=True)
 
 
 def p4_descendants(spark: SparkSession, root: str) -> DataFrame:
-    return hierarchy.descendants(hierarchy.comment_hierarchy(table(spark, root, "comments")))
+    return hierarchy.descendants(hierarchy.comment_hierarchy(table(spark, root, "comments"), every_path=True))
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
