@@ -99,3 +99,13 @@ def test_stuffed_pages(spark, rows):
     assert stuffing.stuffed(docs(spark, [])).count() == 0
     scores = {r.doc_id: r for r in stuffing.score_pages(docs(spark, [t for t, _ in data])).collect()}
     assert scores[1].host_rate > 0.7 and scores[3].host_rate < 0.5 and scores[2].host_rate is None
+
+
+def test_word_rates_count_all_documents(spark):
+    """A small sample for the trees does not change the words' rates, nor does the number of partitions."""
+    data = [t for t, _ in pages(240, 1)]
+    whole, sampled = stuffing.fit(docs(spark, data).coalesce(1)), stuffing.fit(docs(spark, data).repartition(7), 60)
+    assert whole.words.keys() == sampled.words.keys() and {"mask", "council"} <= whole.words.keys()
+    assert all(abs(whole.words[w] - sampled.words[w]) < 1e-9 for w in whole.words)
+    assert whole.words["mask"] > 1 > -1 > whole.words["council"]
+    assert sampled.trees is not None
