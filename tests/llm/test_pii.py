@@ -63,3 +63,19 @@ def test_placeholders_keep_the_rest(spark):
     comments = frame(spark, ["mail a@b.example, thanks", "mail a@b.example, thanks", "none"])
     got = {(r.record_id, r.redacted) for r in pii.redact(comments, pii.find_details(comments)).collect()}
     assert got == {("c0", "mail [EMAIL], thanks"), ("c1", "mail [EMAIL], thanks")}
+
+
+def test_common_words_do_not_depend_on_batches(spark, monkeypatch):
+    """Small letters count in texts far from the capitalised pairs, before a comma too."""
+    lines = [f"Regards, Thanks {s}" for s in ("Hartwick", "Brandvell", "Osterlo", "Tarnbeck")] * 2 + ["many thanks, all"] * 15 + ["nothing more"] * 40
+    seen = []
+    monkeypatch.setattr(pii, "first_names", lambda pairs, common, scores, f=pii.first_names: seen.append({r.word for r in common.collect()}) or f(pairs, common, scores))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for batch in ("10000", "3"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            details = pii.find_details(frame(spark, lines))
+            assert not [r for r in pii.found(details).collect() if r.pii_type == "person_name"]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert seen == [{"thanks"}] * 2

@@ -81,6 +81,10 @@ UNLISTED = re.compile(r",?\s+((?:[A-ZÀ-Þ][a-zß-ÿ'’]+\s+){1,2})([A-ZÀ-Þ][
 #: Digits close together, without which no number is long enough.
 DIGITS = re.compile(r"\d\D{0,3}\d\D{0,3}\d\D{0,3}\d")
 PAIR = re.compile(r"(?<![\w'’@.-])([A-ZÀ-Þ][a-zß-ÿ]{2,})[ \u00a0](?:[A-ZÀ-Þ]\.[ \u00a0])?((?:[A-ZÀ-Þ]['’])?[A-ZÀ-Þ][a-zß-ÿ]{2,}(?:-[A-ZÀ-Þ][a-zß-ÿ]+)?)(?![\w@])")
+#: A word in small letters that could stand in a PAIR if it were capitalised.
+SMALL = re.compile(r"(?<![\w'’@.-])[a-zß-ÿ]{2,}(?![\w@])")
+#: Words in small letters counted in a task before they are passed on.
+COUNTED_WORDS = 200_000
 NAME_PART = re.compile(r"[^\W\d_]+(?:['’.-][^\W\d_]+)*\.?|,")
 LETTERS = re.compile(r"[^\W_]+")
 ZERO = str.maketrans("123456789", "000000000")
@@ -174,12 +178,22 @@ COLUMNS = "kind string, field_name string, record_id string, text_key bigint, st
 
 
 def _collect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Candidates with their places, and counts of capitalised pairs with their surroundings."""
+    """Candidates with their places, and counts of capitalised pairs with their surroundings and of words in small letters."""
     names = [c.split()[0] for c in COLUMNS.split(", ")]
+
+    def framed(rows: list[tuple]) -> pd.DataFrame:
+        columns = dict(zip(names, zip(*rows))) if rows else {n: [] for n in names}
+        # Keys are 64-bit numbers: they must not pass through floating point.
+        whole = {"text_key": "Int64", "start": "Int32", "stop": "Int32", "n": "Int64"}
+        return pd.DataFrame({n: pd.array(list(columns[n]), dtype=whole[n]) if n in whole else pd.Series(list(columns[n]), dtype=object) for n in names})
+
+    def counted(lower: Counter) -> pd.DataFrame:
+        return framed([("lower", None, None, None, None, None, g, None, None, None, None, n) for g, n in lower.items()])
+
+    lower: Counter = Counter()
     for pdf in batches:
         rows: list[tuple] = []
         pairs: Counter = Counter()
-        lower: Counter = Counter()
         for field, record, key, text in zip(pdf["field_name"], pdf["record_id"], pdf["text_key"], pdf["text"]):
             text, _ = _visible(text)
             for kind, start, end, instance, seed in candidates_of(text):
@@ -188,16 +202,13 @@ def _collect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for m in PAIR.finditer(text):
                 before, after = _around(text, m.start(), m.end())
                 pairs[(m[1].lower(), m[2].lower(), before, after)] += 1
-        paired = {w for p in pairs for w in (p[0], _stem(p[1]))}
-        if paired:
-            for text in pdf["text"]:
-                lower.update(paired.intersection(text.split()))
+            lower.update(SMALL.findall(text))
         rows += [("pair", None, None, None, None, None, g, "name" if b in NAME_SEEDS or b.rpartition(" ")[2] in NAME_SEEDS else None, b, a, _stem(s), n) for (g, s, b, a), n in pairs.items()]
-        rows += [("lower", None, None, None, None, None, g, None, None, None, None, n) for g, n in lower.items()]
-        columns = dict(zip(names, zip(*rows))) if rows else {n: [] for n in names}
-        # Keys are 64-bit numbers: they must not pass through floating point.
-        whole = {"text_key": "Int64", "start": "Int32", "stop": "Int32", "n": "Int64"}
-        yield pd.DataFrame({n: pd.array(list(columns[n]), dtype=whole[n]) if n in whole else pd.Series(list(columns[n]), dtype=object) for n in names})
+        yield framed(rows)
+        if len(lower) > COUNTED_WORDS:
+            yield counted(lower)
+            lower.clear()
+    yield counted(lower)
 
 
 def _stem(surname: str) -> str:
@@ -238,11 +249,11 @@ def texts_of(comments: DataFrame) -> DataFrame:
 
 
 def common_words(pairs: DataFrame, lower: DataFrame) -> DataFrame:
-    """word: words seen in small letters more often than in a pair of capitalised words."""
+    """word: words of capitalised pairs that are seen more often in small letters."""
     sides = F.explode(F.array("instance", "follower")).alias("word")
     capital = pairs.select("n", sides).groupBy("word").agg(F.sum("n").alias("_capital"))
     low = lower.groupBy(F.col("instance").alias("word")).agg(F.sum("n").alias("_low"))
-    return low.join(capital, "word", "left").filter(F.col("_low") > F.coalesce("_capital", F.lit(0))).select("word")
+    return low.join(capital, "word").filter(F.col("_low") > F.col("_capital")).select("word")
 
 
 def first_names(pairs: DataFrame, common: DataFrame, scores: DataFrame) -> DataFrame:
