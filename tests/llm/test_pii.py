@@ -79,3 +79,12 @@ def test_common_words_do_not_depend_on_batches(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert seen == [{"thanks"}] * 2
+
+
+def test_redacts_texts_without_id(spark):
+    cols = "comment_id string, body string, submission_id string, submission_title string"
+    comments = spark.createDataFrame([("c0", "x", None, "mail a@b.example"), ("c1", "y", " ", "mail a@b.example"), (None, "ask c@d.example", "s", "mail a@b.example"), ("c2", None, None, None)], cols)
+    details = pii.find_details(comments)
+    got = sorted((r.field_name, r.record_id or "", r.redacted) for r in pii.redact(comments, details).collect())
+    assert got == [("body", "", "ask [EMAIL]"), ("submission_title", "", "mail [EMAIL]"), ("submission_title", "s", "mail [EMAIL]")]
+    assert {tuple(r) for r in pii.found(details).collect()} == {("submission_title", "s", "email")}

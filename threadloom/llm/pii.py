@@ -241,10 +241,10 @@ def spread(edges: DataFrame, seeds: DataFrame, scratch: Scratch, rounds: int = R
 
 
 def texts_of(comments: DataFrame) -> DataFrame:
-    """field_name, record_id, text_key, text of bodies and titles; null texts and ids are left out."""
+    """field_name, record_id, text_key, text of bodies and titles; null texts are left out, null ids are not."""
     body = comments.select(F.lit("body").alias("field_name"), plain_id(F.col("comment_id").cast("string")).alias("record_id"), F.col("body").cast("string").alias("text"))
     title = comments.select(F.lit("submission_title").alias("field_name"), plain_id(F.col("submission_id").cast("string")).alias("record_id"), F.col("submission_title").cast("string").alias("text")).distinct()
-    both = body.unionByName(title).filter(F.col("record_id").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
+    both = body.unionByName(title).filter(F.col("text").isNotNull() & (F.col("text") != ""))
     return both.select("field_name", "record_id", F.xxhash64("text").alias("text_key"), "text")
 
 
@@ -319,7 +319,7 @@ def find_details(comments: DataFrame) -> DataFrame:
 
     Places count the characters of the text without invisible ones; ``text_key``
     is the xxhash64 of the text. Ids are trimmed, lower-cased and without
-    ``t1_``/``t3_``. Null texts and ids give nothing; repeated rows give their
+    ``t1_``/``t3_``. Null texts give nothing, texts of null ids have a null record_id; repeated rows give their
     details once per distinct text and record after ``found``. Without any seed
     nothing but what shows by itself is found. Extra columns are not read.
     """
@@ -371,7 +371,8 @@ def find_details(comments: DataFrame) -> DataFrame:
 
 
 def found(details: DataFrame) -> DataFrame:
-    return details.select("field_name", "record_id", "pii_type").distinct()
+    """field_name, record_id, pii_type of records that have an id."""
+    return details.filter(F.col("record_id").isNotNull()).select("field_name", "record_id", "pii_type").distinct()
 
 
 def redact(comments: DataFrame, details: DataFrame) -> DataFrame:
@@ -380,10 +381,12 @@ def redact(comments: DataFrame, details: DataFrame) -> DataFrame:
     Each detail becomes ``[EMAIL]``, ``[PHONE]``, ``[ID_NUMBER]``,
     ``[STREET_ADDRESS]`` or ``[PERSON_NAME]``; overlapping ones become one, of the
     type that begins first (the longer one if both begin alike). All other
-    characters stay as they were.
+    characters stay as they were. Texts without an id come out with a null record_id.
     """
     spans = details.groupBy("field_name", "record_id", "text_key").agg(F.collect_set(F.struct("start", "stop", "pii_type")).alias("spans"))  # as many as one text holds
-    hit = texts_of(comments).distinct().join(spans, ["field_name", "record_id", "text_key"])
+    t, d = texts_of(comments).distinct().alias("t"), spans.alias("d")
+    same = (F.col("t.field_name") == F.col("d.field_name")) & F.col("t.record_id").eqNullSafe(F.col("d.record_id")) & (F.col("t.text_key") == F.col("d.text_key"))
+    hit = t.join(d, same).select("t.*", "d.spans")
 
     def replace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
