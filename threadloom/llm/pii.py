@@ -81,8 +81,8 @@ UNLISTED = re.compile(r",?\s+((?:[A-ZÀ-Þ][a-zß-ÿ'’]+\s+){1,2})([A-ZÀ-Þ][
 #: Digits close together, without which no number is long enough.
 DIGITS = re.compile(r"\d\D{0,3}\d\D{0,3}\d\D{0,3}\d")
 PAIR = re.compile(r"(?<![\w'’@.-])([A-ZÀ-Þ][a-zß-ÿ]{2,})[ \u00a0](?:[A-ZÀ-Þ]\.[ \u00a0])?((?:[A-ZÀ-Þ]['’])?[A-ZÀ-Þ][a-zß-ÿ]{2,}(?:-[A-ZÀ-Þ][a-zß-ÿ]+)?)(?![\w@])")
-#: A word in small letters that could stand in a PAIR if it were capitalised.
-SMALL = re.compile(r"(?<![\w'’@.-])[a-zß-ÿ]{2,}(?![\w@])")
+#: A word in small letters between white space. Not before a comma: there surnames in small letters outweigh those in pairs.
+SMALL = re.compile(r"(?<!\S)[a-zß-ÿ]{2,}(?!\S)")
 #: Words in small letters counted in a task before they are passed on.
 COUNTED_WORDS = 200_000
 NAME_PART = re.compile(r"[^\W\d_]+(?:['’.-][^\W\d_]+)*\.?|,")
