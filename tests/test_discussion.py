@@ -171,3 +171,13 @@ def test_classifier_round_trip(spark, tmp_path):
     assert got.filter("pred = label").count() >= 20
     with pytest.raises(ValueError):
         modeling.feature_text("other")
+
+
+def test_pair_classifier_scores_every_pair(spark, tmp_path):
+    from threadloom.plans import models
+
+    data = [(f"a{k}", f"r{k}", "claim", "title", "x " * 500 + ("source wrong" if k % 2 else "fine thanks"), k % 2) for k in range(24)] + [("null", None, None, None, None, None)]
+    spark.createDataFrame(data, "annotation_id string, response_id string, claim_text string, submission_title string, response_body string, response_has_correction_cue int").write.parquet(f"{tmp_path}/candidate_pairs.parquet")
+    got = models.pair_classifier(spark, str(tmp_path)).collect()
+    assert {r.annotation_id for r in got} == {d[0] for d in data} and len(got) == len(data)
+    assert all(r.pred == r.label for r in got if r.annotation_id != "null")

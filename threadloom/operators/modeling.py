@@ -16,7 +16,7 @@ FEATURES = 1 << 16
 
 def feature_text(mode: str) -> Column:
     """One text from claim, title and response, in one of three templates."""
-    claim, title, response = (compact(F.col(c), 800) for c in ("claim_text", "submission_title", "response_body"))
+    claim, title, response = (compact(F.col(c)) for c in ("claim_text", "submission_title", "response_body"))
     if mode == "response":
         return response
     if mode == "pair":

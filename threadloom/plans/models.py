@@ -117,11 +117,11 @@ def ancestor_closure(spark: SparkSession, root: str) -> DataFrame:
 
 
 def pair_classifier(spark: SparkSession, root: str) -> DataFrame:
-    """Scores of a hashed linear model for the cue flag of candidate pairs, trained on half of the responses."""
+    """Scores of a hashed linear model for the cue flag of all candidate pairs; trained on half of the responses, whose own scores are thus in-sample."""
     p = table(spark, root, "candidate_pairs").select("annotation_id", "response_id", modeling.feature_text("pair").alias("text"), F.coalesce("response_has_correction_cue", F.lit(0)).cast("double").alias("label"))
     half = F.pmod(F.xxhash64("response_id"), F.lit(2)) == 0
-    model = modeling.trainer(features=1 << 12).fit(p.filter(half))
-    return modeling.score(model, p.filter(~half)).select("annotation_id", "label", "score", "pred")
+    model = modeling.trainer().fit(p.filter(half))
+    return modeling.score(model, p).select("annotation_id", "label", "score", "pred")
 
 
 def event_windows(spark: SparkSession, root: str) -> DataFrame:
