@@ -20,9 +20,9 @@ levels. Instead:
 
 All state is written to the shared folder between rounds, so plans stay short and
 survive lost executors. Pointers are a function (one parent a node), so no join
-multiplies rows. The children of a parent with very many meet in one partition of
-the first joins; as the other side is unique, adaptive execution splits such a
-partition (``spark.sql.adaptive.skewJoin``), and no child walks it twice.
+multiplies rows. Nodes that point at one very frequent node do not meet in one
+task: that node's row, one of at most ``2 / HOT_SHARE``, goes to them in a
+broadcast (``join_hot``).
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.keys import plain_id, plain_key
-from threadloom.runtime import Scratch
+from threadloom.runtime import Scratch, broadcast_if_small, hot_keys, join_hot
 
 #: One node in so many is a splitter, besides the tops.
 SPLIT = 8
@@ -67,11 +67,11 @@ def _double(state: DataFrame, scratch: Scratch, with_paths: bool) -> tuple[DataF
     # A walking node's pointer is itself in the table: the look-up is total.
     while left:
         look = table.select(F.col("id").alias("ptr"), F.col("ptr").alias("_p"), F.col("dist").alias("_d"), F.col("done").alias("_done"), *[F.col("seg").alias("_s") for _ in extra])
-        moved = walking.join(look, "ptr").select(
+        moved = join_hot(walking, look, "ptr", hot_keys(walking, "ptr")).select(
             "id", F.col("_p").alias("ptr"), (F.col("dist") + F.col("_d")).alias("dist"), F.col("_done").alias("done"), *[F.concat("_s", "seg").alias("seg") for _ in extra]
         )
-        moved = scratch.keep(moved)
-        now = moved.filter(~F.col("done")).count()
+        moved, seen = scratch.counted(moved, left=~F.col("done"))
+        now = seen["left"]
         arrived.append(moved.filter("done").select(*cols))
         if now == left:
             return _all(arrived), moved.filter(~F.col("done")).select(*cols), now
@@ -97,8 +97,8 @@ def _cycles(edges: DataFrame, scratch: Scratch) -> DataFrame:
     image = jump.select(F.col("ptr").alias("id")).distinct()
     n_image = image.count()
     while True:  # sizes of f^1, f^2, f^4, ... (nodes): equal twice means only cycles are left
-        step = jump.alias("a").join(jump.alias("b"), F.col("a.ptr") == F.col("b.id")).select(F.col("a.id").alias("id"), F.col("b.ptr").alias("ptr"))
-        jump = scratch.keep(step)
+        step = join_hot(jump, jump.select(F.col("id").alias("ptr"), F.col("ptr").alias("_next")), "ptr", hot_keys(jump, "ptr"))
+        jump = scratch.keep(step.select("id", F.col("_next").alias("ptr")))
         image = jump.select(F.col("ptr").alias("id")).distinct()
         before, n_image = n_image, image.count()
         if n_image == before:
@@ -110,10 +110,9 @@ def _cycles(edges: DataFrame, scratch: Scratch) -> DataFrame:
         nxt = ring.alias("a").join(ring.alias("b"), F.col("a.ptr") == F.col("b.id")).select(
             F.col("a.id").alias("id"), F.col("b.ptr").alias("ptr"), F.least("a.low", "b.low").alias("low"), (F.least("a.low", "b.low") != F.col("a.low")).alias("changed")
         )
-        nxt = scratch.keep(nxt)
-        changed = nxt.filter("changed").count()
+        nxt, seen = scratch.counted(nxt, changed=F.col("changed"))
         ring = nxt.drop("changed")
-        if not changed:
+        if not seen["changed"]:
             break
     return edges.select("id").join(ring.select("id", F.col("low").alias("cycle_id")), "id", "left").select("id", F.col("cycle_id").isNotNull().alias("on_cycle"), "cycle_id")
 
@@ -146,13 +145,14 @@ def resolve(nodes: DataFrame, scratch: Scratch, split: int = SPLIT, with_paths:
     """
     nodes = nodes.select("id", "parent")
     known = nodes.select(F.col("id").alias("parent"), F.lit(True).alias("_known"))
-    linked = scratch.keep(nodes.join(known, "parent", "left").select("id", "parent", F.col("_known").isNotNull().alias("inner"), (_is_splitter(F.col("id"), split) | F.col("_known").isNull()).alias("splitter")))
+    hot = hot_keys(nodes, "parent")
+    linked = scratch.keep(join_hot(nodes, known, "parent", hot, "left").select("id", "parent", F.col("_known").isNotNull().alias("inner"), (_is_splitter(F.col("id"), split) | F.col("_known").isNull()).alias("splitter")))
     edges = linked.filter("inner").select("id", "parent")
     seg = [F.array("parent").alias("seg")] if with_paths else []
     # A splitter's own walk starts in the reduced graph; here only others walk. The
     # parent's splitter flag needs a look-up for tops; hash splitters show by themselves.
     flags = linked.select(F.col("id").alias("parent"), F.col("splitter").alias("done"))
-    first = linked.filter("inner").join(flags, "parent").select("id", F.col("parent").alias("ptr"), F.lit(1).alias("dist"), "done", "splitter", *seg)
+    first = join_hot(linked.filter("inner"), flags, "parent", hot).select("id", F.col("parent").alias("ptr"), F.lit(1).alias("dist"), "done", "splitter", *seg)
     first = scratch.keep(first)
     state = first.filter(~F.col("splitter")).drop("splitter")
     arrived, endless, n_endless = _double(state, scratch, with_paths)
@@ -166,19 +166,21 @@ def resolve(nodes: DataFrame, scratch: Scratch, split: int = SPLIT, with_paths:
     via = inner_splitters.filter(~F.col("done")).select("id", F.col("ptr").alias("_via"), *[F.col("seg").alias("_seg") for _ in extra])
     lead = arrived.select(F.col("id").alias("_via"), "ptr", F.col("dist").alias("_d"), *extra)
     reduced = via.join(lead, "_via", "left").select("id", "ptr", (F.col("_d") + 1).alias("dist"), *[F.concat("seg", "_seg").alias("seg") for _ in extra])
-    reduced = scratch.keep(direct.unionByName(reduced))
+    reduced, lost = scratch.counted(direct.unionByName(reduced), stuck=F.col("ptr").isNull())
     stuck = reduced.filter(F.col("ptr").isNull()).select("id")  # their parents never reach a splitter
     top_flag = tops.select(F.col("id").alias("ptr"), F.lit(True).alias("_top"))
     pointing = reduced.filter(F.col("ptr").isNotNull())
-    rstate = scratch.keep(pointing.join(top_flag, "ptr", "left").select("id", "ptr", "dist", F.col("_top").isNotNull().alias("done"), *extra))
+    rstate = scratch.keep(join_hot(pointing, top_flag, "ptr", hot_keys(pointing, "ptr"), "left").select("id", "ptr", "dist", F.col("_top").isNotNull().alias("done"), *extra))
     # A pointer at a stuck splitter can't be followed; such splitters are endless as well.
-    rstate, n_stuck = _without_stuck(rstate, stuck, scratch)
+    n_stuck = lost["stuck"]
+    if n_stuck:
+        rstate = _without_stuck(rstate, stuck, scratch)
     solved, cyclic, n_cyclic = _double(rstate, scratch, with_paths)
     top_rows = tops.select("id", F.col("id").alias("ptr"), F.lit(0).alias("dist"), *[F.array().cast("array<string>").alias("seg") for _ in extra])
     answers = scratch.keep(solved.select("id", "ptr", "dist", *extra).unionByName(top_rows))
 
     ans = answers.select(F.col("id").alias("ptr"), F.col("ptr").alias("_top"), F.col("dist").alias("_d"), *[F.col("seg").alias("_s") for _ in extra])
-    expanded = arrived.join(ans, "ptr").select("id", F.col("_top").alias("top"), (F.col("dist") + F.col("_d")).alias("height"), *[F.concat("_s", "seg", F.array("id")).alias("path") for _ in extra])
+    expanded = join_hot(arrived, ans, "ptr", hot_keys(arrived, "ptr")).select("id", F.col("_top").alias("top"), (F.col("dist") + F.col("_d")).alias("height"), *[F.concat("_s", "seg", F.array("id")).alias("path") for _ in extra])
     own = answers.select("id", F.col("ptr").alias("top"), F.col("dist").alias("height"), *[F.concat("seg", F.array("id")).alias("path") for _ in extra])
     tree = scratch.keep(own.unionByName(expanded))
     none = [F.lit(None).cast("array<string>").alias("path") for _ in extra]
@@ -194,14 +196,11 @@ def resolve(nodes: DataFrame, scratch: Scratch, split: int = SPLIT, with_paths:
     return Hierarchy(named, edges, with_paths)
 
 
-def _without_stuck(state: DataFrame, stuck: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+def _without_stuck(state: DataFrame, stuck: DataFrame, scratch: Scratch) -> DataFrame:
     """Take out splitters that run, splitter by splitter, into one without a pointer."""
-    n = stuck.count()
-    if not n:
-        return state, 0
     # Give each stuck splitter a pointer at itself: it then never arrives, nor do those behind it.
     loops = stuck.select("id", F.col("id").alias("ptr"), F.lit(0).alias("dist"), F.lit(False).alias("done"), *[F.array("id").alias("seg") for _ in range("seg" in state.columns)])
-    return scratch.keep(state.unionByName(loops)), n
+    return scratch.keep(state.unionByName(loops))
 
 
 def comment_nodes(comments: DataFrame) -> DataFrame:
@@ -240,8 +239,9 @@ def comment_hierarchy(comments: DataFrame, split: int = SPLIT, with_paths: bool
     scratch = Scratch(comments.sparkSession, "hierarchy")
     nodes = scratch.keep(comment_nodes(comments))
     tree = resolve(nodes, scratch, split, with_paths, every_path).nodes
+    hot = hot_keys(tree, "top")
     tops = nodes.filter("at_submission").select(F.col("id").alias("top"), F.col("root_submission").alias("_root"))
-    out = tree.join(tops, "top", "left").join(nodes.select("id", "parent", "level"), "id")
+    out = join_hot(tree, tops, "top", hot, "left").join(nodes.select("id", "parent", "level"), "id")
     ends = F.col("_root").isNotNull()
     rooted = F.when(ends, F.concat(F.array("_root"), "path"))
     path = [(rooted.otherwise(F.col("path")) if every_path else rooted).alias("path")] if with_paths else []
@@ -262,7 +262,22 @@ def descendants(hierarchy: DataFrame) -> DataFrame:
     return e.filter(F.col("_pos") < F.col("_n") - 1).select("ancestor_id", "descendant_id", (F.col("_n") - 1 - F.col("_pos")).cast("bigint").alias("distance"))
 
 
+def below(hierarchy: DataFrame, ancestors: DataFrame) -> DataFrame:
+    """ancestor_id, descendant_id, distance: as ``descendants``, but only of ``ancestors`` (a column ancestor_id of unique ids).
+
+    Where the ancestors are few enough to be broadcast, ids of a path that nobody asked for are dropped in the stage that explodes it.
+    """
+    e = hierarchy.filter(F.col("path").isNotNull()).select(F.col("comment_id").alias("descendant_id"), F.size("path").alias("_n"), F.posexplode(F.slice("path", 1, F.size("path") - 1)).alias("_pos", "ancestor_id"))
+    wanted = broadcast_if_small(ancestors.select("ancestor_id"))
+    return e.join(wanted, "ancestor_id", "left_semi").select("ancestor_id", "descendant_id", (F.col("_n") - 1 - F.col("_pos")).cast("bigint").alias("distance"))
+
+
 def findings(hierarchy: DataFrame) -> DataFrame:
-    """comment_id and finding: cycle, below_cycle or level_mismatch."""
-    f = F.when(F.col("kind").isin("cycle", "below_cycle"), F.col("kind")).when((F.col("kind") == "tree") & F.col("level").isNotNull() & (F.col("level") != F.col("depth")), "level_mismatch")
+    """comment_id and finding: cycle, below_cycle or level_mismatch.
+
+    The level is held against the expanded path (submission, then comments); a
+    hierarchy made without paths is judged by its depth, which is the same number.
+    """
+    steps = F.size("path") - 1 if "path" in hierarchy.columns else F.col("depth")
+    f = F.when(F.col("kind").isin("cycle", "below_cycle"), F.col("kind")).when((F.col("kind") == "tree") & F.col("level").isNotNull() & (F.col("level") != steps), "level_mismatch")
     return hierarchy.select("comment_id", f.alias("finding")).filter(F.col("finding").isNotNull())

@@ -10,10 +10,14 @@
    one bit however many rows refer to it. Kept bitmaps are compressed: a sorted
    16-bit list while few bits are set, deflated bits otherwise.
 3. *AND-NOT.* Reference AND-NOT existing gives missing keys, reference AND-NOT
-   living gives deleted ones, reference AND-NOT appeared-by-then gives late ones. A range is at most 2^15 bits, so no task holds an unbounded group.
+   living gives deleted ones, reference AND-NOT appeared-before-that-month gives those
+   that may be late. A range is at most 2^15 bits, so no task holds an unbounded group.
 4. *Decode.* Surviving bits are turned back into codes and looked up in the
-   encoded references, which gives the single records. A parent that appeared in
-   the very month of the reference is compared by the second.
+   encoded references, which gives the single records. Those that may be late are
+   then checked by the second, as months alone do not tell before from after.
+
+A key that a third of all rows refer to is one bit of a bitmap; in the two joins that
+carry single references its row goes to them in a broadcast (``join_hot``).
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadloom.functions.keys import plain_id, plain_key
-from threadloom.runtime import Scratch, broadcast_if_small
+from threadloom.runtime import Scratch, hot_keys, join_hot
 
 #: Bits of a key range: a bitmap holds 2^15 codes in 4,096 bytes.
 RANGE_BITS = 15
@@ -77,13 +81,13 @@ def _survivors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = []
         for r in pdf.itertuples(index=False):
             ref = unpack(r.bits)
-            present, alive, by_then = unpack(r.present), unpack(r.alive), unpack(None)
+            present, alive, before = unpack(r.present), unpack(r.alive), unpack(None)
             for b in r.born if r.born is not None else ():
-                if r.period == "unknown" or b["born"] == "unknown" or b["born"] <= r.period:
-                    by_then = by_then | unpack(b["bits"])
+                if r.period == "unknown" or b["born"] == "unknown" or b["born"] < r.period:
+                    before = before | unpack(b["bits"])
             missing = ref & ~present
             gone = ref & ~alive & ~missing
-            late = ref & present & ~by_then
+            late = ref & present & ~before
             for what, bits in (("missing", missing), ("deleted", gone), ("late", late)):
                 at = np.flatnonzero(np.unpackbits(bits, bitorder="little"))
                 if len(at):
@@ -124,18 +128,22 @@ def orphan_references(comments: DataFrame, submissions: DataFrame) -> DataFrame:
     """
     spark = comments.sparkSession
     scratch = Scratch(spark, "references")
-    refs = scratch.keep(comment_references(comments))
+    # Keys of both tables in one column: the table's first letter stands before the id.
+    named = lambda kind, key: F.concat(F.substring(kind, 1, 1), F.lit(":"), key)
+    refs = scratch.keep(comment_references(comments).withColumn("key", named(F.col("ref_table"), F.col("key"))))
     gone = F.coalesce(plain_key(F.col("body").cast("string")).isin(*GONE), F.lit(False))
-    parents = comments.select(F.lit("comments").alias("ref_table"), plain_id(F.col("comment_id").cast("string")).alias("key"), (~gone).alias("alive"), F.col("created_utc").cast("double").alias("t"), F.lit(True).alias("here")).unionByName(
-        submissions.select(F.lit("submissions").alias("ref_table"), plain_id(F.col("submission_id").cast("string")).alias("key"), F.lit(True).alias("alive"), F.col("created_utc").cast("double").alias("t"), F.lit(True).alias("here"))
+    parents = comments.select(named(F.lit("comments"), plain_id(F.col("comment_id").cast("string"))).alias("key"), (~gone).alias("alive"), F.col("created_utc").cast("double").alias("t"), F.lit(True).alias("here")).unionByName(
+        submissions.select(named(F.lit("submissions"), plain_id(F.col("submission_id").cast("string"))).alias("key"), F.lit(True).alias("alive"), F.col("created_utc").cast("double").alias("t"), F.lit(True).alias("here"))
     )
-    asked = refs.select("ref_table", "key", F.lit(None).cast("boolean").alias("alive"), F.lit(None).cast("double").alias("t"), F.lit(False).alias("here"))
-    keyed = parents.filter(F.col("key").isNotNull()).unionByName(asked).groupBy("ref_table", "key").agg(F.max("here").alias("here"), F.max("alive").alias("alive"), F.max("t").alias("t"), F.min("here").alias("_only_here"))
+    asked = refs.select("key", F.lit(None).cast("boolean").alias("alive"), F.lit(None).cast("double").alias("t"), F.lit(False).alias("here"))
+    keyed = parents.filter(F.col("key").isNotNull()).unionByName(asked).groupBy("key").agg(F.max("here").alias("here"), F.max("alive").alias("alive"), F.max("t").alias("t"), F.min("here").alias("_only_here"))
     # Keys to which nothing refers need no code.
     keyed = keyed.filter(~F.col("_only_here")).drop("_only_here")
     # Written before use: a code given by position must not be given anew.
     codes = scratch.keep(keyed.withColumn("code", F.monotonically_increasing_id()))
-    encoded = scratch.keep(refs.join(codes.select("ref_table", "key", "code", F.col("t").alias("parent_t")), ["ref_table", "key"]).select("comment_id", "ref_table", "code", "created", "period", "parent_t"))
+    at = F.concat_ws("|", "code", "period")
+    encoded = join_hot(refs, codes.select("key", "code", F.col("t").alias("parent_t")), "key", hot_keys(refs, "key"))
+    encoded = scratch.keep(encoded.select("comment_id", "ref_table", "code", "created", "period", "parent_t", at.alias("at")))
 
     ref_bits = bitmaps(encoded.select("code", "period"), ["period"])
     here = bitmaps(codes.filter("here").select("code"), []).withColumnRenamed("bits", "present")
@@ -144,12 +152,13 @@ def orphan_references(comments: DataFrame, submissions: DataFrame) -> DataFrame:
     born = bitmaps(codes.filter("here").select("code", _period(F.col("t")).alias("born")), ["born"])
     born = born.groupBy("range").agg(F.collect_list(F.struct("born", "bits")).alias("born"))
     joined = ref_bits.join(here, "range", "left").join(alive, "range", "left").join(born, "range", "left").select("range", "period", "bits", "present", "alive", "born")
-    left = joined.mapInPandas(_survivors, "code long, period string, finding string")
-    found = encoded.join(left, ["code", "period"]).filter((F.col("finding") != "deleted") | (F.col("ref_table") == "comments"))
-    # Within one month bitmaps can't tell before from after; the times can.
-    same_month = encoded.filter((F.col("parent_t") > F.col("created")) & (_period(F.col("parent_t")) == F.col("period"))).withColumn("finding", F.lit("late"))
-    cols = ["comment_id", "ref_table", "finding", "period"]
-    return found.select(cols).unionByName(same_month.select(cols))
+    bits = joined.mapInPandas(_survivors, "code long, period string, finding string")
+    # One row per key and month, with up to three findings.
+    left = bits.groupBy(at.alias("at")).agg(F.collect_set("finding").alias("findings"))
+    hot = hot_keys(encoded, "at")
+    found = join_hot(encoded, scratch.keep(left) if hot else left, "at", hot).withColumn("finding", F.explode("findings"))
+    holds = F.when(F.col("finding") == "deleted", F.col("ref_table") == "comments").when(F.col("finding") == "late", F.col("parent_t") > F.col("created")).otherwise(True)
+    return found.filter(holds).select("comment_id", "ref_table", "finding", "period")
 
 
 def orphan_report(found: DataFrame) -> DataFrame:

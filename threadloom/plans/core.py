@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.operators import eager, hierarchy, references
+from threadloom.runtime import Scratch
 from threadloom.sources.tables import table
 
 
@@ -17,8 +18,9 @@ def p3_profile(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    """The keys that make the imbalance, read from the whole result per key."""
     total = table(spark, root, "comments").count()
-    return eager.heavy_keys(p3_profile(spark, root), total)
+    return eager.heavy_keys(Scratch(spark, "profile").keep(p3_profile(spark, root)), total)
 
 
 def p3_key_results(spark: SparkSession, root: str) -> DataFrame:
@@ -31,7 +33,7 @@ def p3_rollup(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
-    return hierarchy.findings(hierarchy.comment_hierarchy(table(spark, root, "comments"), with_paths=False))
+    return hierarchy.findings(hierarchy.comment_hierarchy(table(spark, root, "comments")))
 
 
 def p4_paths(spark: SparkSession, root: str) -> DataFrame:
