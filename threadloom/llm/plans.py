@@ -33,7 +33,8 @@ def p2_redacted(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
-    return splits.tied_groups(table(spark, root, "candidate_pairs"))
+    """Tied pairs by the component table, which two batches of arrivals build."""
+    return splits.tied_groups(splits.arrivals(table(spark, root, "candidate_pairs")), table(spark, root, "split_targets"))
 
 
 def _split(spark: SparkSession, root: str) -> splits.SplitResult:
