@@ -5,8 +5,14 @@ of [0, 1) the i-th golden-ratio point falls, so that every stretch of the
 sequence, not only the whole, has the target shares up to a few slots. The k-th
 slot of a source holds its k-th block: the source's documents, shuffled by hash,
 end to end, and after each pass shuffled anew, up to the repeats it is allowed;
-this line of tokens is cut every ``block_tokens`` tokens, and a document belongs
-to the block in which it starts. Nothing is drawn, so a run can be repeated.
+this line of tokens is cut every ``size`` tokens, through documents where they stand,
+so all blocks are equal and the shares are those of the slots. Nothing is drawn, so
+a run can be repeated.
+
+The source that is exhausted first bounds the mixture. Blocks are at most
+``block_tokens`` long and so small that this source has ``LEAST_BLOCKS`` of them
+(if it has as many tokens), and their number is chosen so that its line comes out
+even; a tiny source thus makes a small mixture, never an empty one.
 
 Both the places of documents on the line and the ranks of slots are two-level
 prefix sums: small tables of slice sums, then windows within slices. A source
@@ -33,10 +39,12 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 # Fixed value: the split pattern that belongs to the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK_TOKENS = 2048
-#: Slices of a source's line; a power of two.
-SLICE_BITS = 10
+#: Fewest blocks of the source that is exhausted first.
+LEAST_BLOCKS = 32
+#: Uses of documents in a slice of a source's line; slices are a power of two, at most 2 ** 20.
+SLICE_ROWS = 20_000
 GOLDEN = (math.sqrt(5) - 1) / 2
-CHUNK = 4096
+CHUNK = 1 << 16
 
 
 @lru_cache(maxsize=2)
@@ -63,11 +71,12 @@ def token_counts(df: DataFrame, text: str = "text", tokenizers: str = TOKENIZERS
     return df.mapInPandas(count, f"{schema}, n_tokens bigint")
 
 
-def _line(docs: DataFrame, totals: DataFrame) -> DataFrame:
-    """Every allowed use of a document with its place on the source's line of tokens."""
+def _line(docs: DataFrame, totals: DataFrame, uses: int) -> DataFrame:
+    """Every allowed use of a document with its place on the source's line of tokens; about ``uses`` in all."""
+    bits = min(20, max(3, (uses // SLICE_ROWS).bit_length()))
     passes = F.sequence(F.lit(0), F.col("max_repeats").cast("int") - 1)
     used = docs.join(F.broadcast(totals.select("source", "max_repeats")), "source").withColumn("pass", F.explode(passes)).drop("max_repeats")  # one row a source
-    used = used.withColumn("_h", F.xxhash64("doc_id", "pass")).withColumn("_slice", F.shiftright("_h", 64 - SLICE_BITS).cast("int"))
+    used = used.withColumn("_h", F.xxhash64("doc_id", "pass")).withColumn("_slice", F.shiftright("_h", 64 - bits).cast("int"))
     sums = used.groupBy("source", "pass", "_slice").agg(F.sum("n_tokens").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("source").orderBy("pass", "_slice").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
@@ -93,14 +102,27 @@ def schedule(spark, weights: list[tuple[str, float]], slots: int) -> DataFrame:
     return line.withColumn("_in", inner).join(sums, ["source", "_chunk"]).select("slot", "source", (F.col("_before") + F.col("_in")).alias("rank"))
 
 
-def mix(documents: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, tokenizers: str = TOKENIZERS) -> DataFrame:
-    """slot, place, source, doc_id, pass, n_tokens: the mixture in order of (slot, place).
+def _sizes(rows: list, block_tokens: int) -> tuple[int, dict[str, int], list[tuple[str, float]]]:
+    """Tokens of a block, blocks of every source, shares; rows: source, tokens, target_share, max_repeats."""
+    norm = sum(r["target_share"] for r in rows)
+    weights = [(r["source"], r["target_share"] / norm) for r in rows]
+    allowed = {r["source"]: r["tokens"] * r["max_repeats"] for r in rows}
+    scarce = min(weights, key=lambda sw: (allowed[sw[0]] / sw[1], sw[0]))[0]
+    n = min(allowed[scarce], max(LEAST_BLOCKS, -(-allowed[scarce] // block_tokens)))
+    size = allowed[scarce] // n
+    return size, {s: a // size for s, a in allowed.items()}, weights
 
-    Source names compare trimmed and lower-cased; documents of a source without
-    a target, or without a source or id, take no part. Target shares are taken
-    relative to their sum. The size is the greatest at which no document is used
-    more than max_repeats times (null or less than 1 counts as 0: the source
-    takes no part); a target source without any token therefore takes no part
+
+def mix(documents: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """slot, place, source, doc_id, pass, first_token, n_tokens: the mixture in order of (slot, place).
+
+    A row is a document or, where a block ends inside it, a piece of one: its
+    ``n_tokens`` tokens from ``first_token`` on. Every slot has the same number
+    of tokens. Source names compare trimmed and lower-cased; documents of a
+    source without a target, or without a source or id, take no part. Target
+    shares are taken relative to their sum. The size is the greatest at which no
+    document is used more than max_repeats times (null or less than 1 counts as
+    0: the source takes no part), up to one block; a target source without any token takes no part
     either, as the mixture would otherwise be empty, and its share goes to the
     rest in proportion. Repeated texts under several ids are several documents.
     Empty texts have no tokens and are left out. Empty tables give an empty result.
@@ -113,34 +135,31 @@ def mix(documents: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKE
     goal = scratch.keep(goal.coalesce(1))
     docs = docs.join(F.broadcast(goal.select("source")), "source", "left_semi")  # one row a source
     counted = scratch.keep(token_counts(docs, tokenizers=tokenizers).filter(F.col("n_tokens") > 0))
-    totals = scratch.keep(counted.groupBy("source").agg(F.sum("n_tokens").alias("tokens")).join(goal, "source"))
+    totals = scratch.keep(counted.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("documents")).join(goal, "source"))
     rows = sorted(totals.collect(), key=lambda r: r["source"])  # one row a source
-    empty = spark.createDataFrame([], "slot bigint, place int, source string, doc_id bigint, pass int, n_tokens bigint")
     if not rows:
-        return empty
-    norm = sum(r["target_share"] for r in rows)
-    weights = [(r["source"], r["target_share"] / norm) for r in rows]
-    # Blocks per source; the last, partly filled block of a line is no block.
-    blocks = {r["source"]: r["tokens"] * r["max_repeats"] // block_tokens for r in rows}
-    slots = int(min(blocks[s] / w for s, w in weights))
-    while slots > 0:
+        return spark.createDataFrame([], "slot bigint, place int, source string, doc_id bigint, pass int, first_token bigint, n_tokens bigint")
+    size, blocks, weights = _sizes(rows, block_tokens)
+    slots = max(1, int(min(blocks[s] / w for s, w in weights)))
+    while slots > 1:
         per = {r["source"]: r["count"] for r in schedule(spark, weights, slots).groupBy("source").count().collect()}
         over = max(per.get(s, 0) - blocks[s] for s, _ in weights)
         if over <= 0:
             break
-        slots = max(0, slots - max(1, int(over / max(w for _, w in weights))))
-    if not slots:
-        return empty
-    line = _line(counted, totals).withColumn("rank", F.floor(F.col("start") / block_tokens))
-    plan = schedule(spark, weights, slots)
-    placed = plan.join(line, ["source", "rank"])
+        slots = max(1, slots - max(1, int(over / max(w for _, w in weights))))
+    line = _line(counted, totals, sum(r["documents"] * r["max_repeats"] for r in rows)).withColumn("_end", F.col("start") + F.col("n_tokens"))
+    ranks = F.sequence(F.floor(F.col("start") / size), F.floor((F.col("_end") - 1) / size))
+    pieces = line.withColumn("rank", F.explode(ranks))
+    first, last = F.greatest("start", F.col("rank") * size), F.least("_end", (F.col("rank") + 1) * size)
+    pieces = pieces.select("source", "rank", "doc_id", "pass", "start", (first - F.col("start")).alias("first_token"), (last - first).alias("n_tokens"))
+    placed = schedule(spark, weights, slots).join(pieces, ["source", "rank"])
     place = F.row_number().over(Window.partitionBy("slot").orderBy("start", "doc_id")) - 1
-    return placed.select("slot", place.alias("place"), "source", "doc_id", "pass", "n_tokens")
+    return placed.select("slot", place.alias("place"), "source", "doc_id", "pass", "first_token", "n_tokens")
 
 
 def shares(mixture: DataFrame, targets: DataFrame) -> DataFrame:
     """source, tokens, documents, most_uses, share, target_share: what was reached."""
-    per_doc = mixture.groupBy("source", "doc_id").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("uses"))
+    per_doc = mixture.groupBy("source", "doc_id").agg(F.sum("n_tokens").alias("tokens"), F.count_distinct("pass").alias("uses"))
     per = per_doc.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("uses").alias("most_uses"))
     goal = targets.select(plain_key(F.col("source").cast("string")).alias("source"), F.col("target_share").cast("double").alias("target_share"), "max_repeats")
     out = goal.join(per, "source", "left").fillna(0, ["tokens", "documents", "most_uses"])

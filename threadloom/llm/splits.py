@@ -42,8 +42,8 @@ from threadloom.runtime import Scratch, broadcast_if_small, hot_keys, join_hot
 HOT = 0.001
 #: A component with more than this share of the records is placed by itself.
 LARGE = 0.01
-#: Hash slices of the two-level prefix sum.
-SLICES = 1024
+#: Components in a hash slice of the two-level prefix sum; there are at most 2 ** 20 slices.
+SLICE_ROWS = 20_000
 QUARANTINE = "quarantine"
 
 # Names that tie nothing.
@@ -126,7 +126,8 @@ def components(records: DataFrame, links: DataFrame, scratch: Scratch, n_links:
 
 def _place(sizes: DataFrame, targets: list[tuple[str, float]], held: dict[str, int]) -> DataFrame:
     """component, split for components (component, n) without one."""
-    new = sizes.agg(F.sum("n")).first()[0] or 0
+    all_ = sizes.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("c")).first()
+    new, slices_n = all_["n"] or 0, min(1 << 20, max(8, all_["c"] // SLICE_ROWS))
     want = new + sum(held.get(s, 0) for s, _ in targets)
     deficit = {s: max(0.0, share * want - held.get(s, 0)) for s, share in targets}
     bound = max(1.0, LARGE * new)
@@ -140,12 +141,12 @@ def _place(sizes: DataFrame, targets: list[tuple[str, float]], held: dict[str, i
     rest = {s: max(0.0, d) for s, d in deficit.items()}
     if not sum(rest.values()):
         rest = {s: share for s, share in targets}
-    small = sizes.filter(F.col("n") <= bound).withColumn("_h", F.xxhash64("component")).withColumn("_slice", F.pmod("_h", F.lit(SLICES)))
+    small = sizes.filter(F.col("n") <= bound).withColumn("_h", F.xxhash64("component")).withColumn("_slice", F.pmod("_h", F.lit(slices_n)))
     slices = small.groupBy("_slice").agg(F.sum("n").alias("_n"))
     before = slices.withColumn("_before", F.sum("_n").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))).withColumn("_all", F.sum("_n").over(Window.partitionBy())).select("_slice", F.coalesce("_before", F.lit(0)).alias("_before"), "_all")
     within = F.sum("n").over(Window.partitionBy("_slice").orderBy("_h", "component"))
     at = (F.col("_before") + within - F.col("n") / 2) / F.col("_all")
-    line = small.join(F.broadcast(before), "_slice").withColumn("_at", at)  # SLICES rows
+    line = small.join(F.broadcast(before), "_slice").withColumn("_at", at)  # at most 2 ** 20 rows of three numbers
     total, upto, case = sum(rest.values()), 0.0, None
     names = [s for s in rest if rest[s] > 0]
     for s in names[:-1]:
