@@ -88,3 +88,24 @@ def test_redacts_texts_without_id(spark):
     got = sorted((r.field_name, r.record_id or "", r.redacted) for r in pii.redact(comments, details).collect())
     assert got == [("body", "", "ask [EMAIL]"), ("submission_title", "", "mail [EMAIL]"), ("submission_title", "s", "mail [EMAIL]")]
     assert {tuple(r) for r in pii.found(details).collect()} == {("submission_title", "s", "email")}
+
+
+def test_joined_first_names_and_partitions(spark, rows):
+    """More names than may be broadcast are joined; neither that nor partitions and batches change what is found."""
+    from threadloom.runtime import Scratch
+
+    texts = [f"my name is {g} {s}, call me" for g in ("Anna", "Boris", "Carla", "Dmitri") for s in ("Velko", "Norrin", "Ostrava", "Palmer")] + ["Thanks, Anna Maria Velko!", "nothing here", "ask Palmer, Carla"]
+    frame = spark.createDataFrame([(f"c{k}", t, None, None) for k, t in enumerate(texts * 3)], "comment_id string, body string, submission_id string, submission_title string")
+    want = rows(pii.found(pii.find_details(frame.coalesce(1))))
+    assert len(want) > 40 and rows(pii.found(pii.find_details(frame.repartition(7)))) == want
+    own, names = pii.texts_of(frame), spark.createDataFrame([(g,) for g in ("anna", "boris", "carla", "dmitri", "maria")], "instance string")
+    assert rows(pii.people(own, names, Scratch(spark, "t"), limit=2)) == rows(pii.people(own, names, Scratch(spark, "t")))
+
+
+def test_contexts_are_not_cut():
+    """Words longer than any fixed window still count as the two before and after."""
+    long = "x" * 300
+    text = f"tel {long} 12345678 {long} end now"
+    assert pii._around(text, text.index("12345678"), text.index("12345678") + 8) == (f"tel {long}", f"{long} end")
+    street = f"Calle de {'ramo' * 30} {'verde' * 20} 14"
+    assert pii.candidates_of(street)[0][:3] == ("street_address", 0, len(street))

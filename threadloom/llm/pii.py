@@ -2,9 +2,10 @@
 
 Entities that show by themselves (an address with an at sign, a number after
 "Tel.", a house number before a known street word) are seeds. What else may be an
-entity is an *instance* (the shape of a number, the word after a house number, the
+entity is an *instance* (the form of an address, the shape of a number, the word after a house number, the
 first word of two capitalised ones) seen between *patterns* (the two words before
-and the two after). Instances and patterns form a bipartite graph, counted over
+and the two after). Everything that comes out, seeds included, comes out by its score in the
+graph. Instances and patterns form a bipartite graph, counted over
 all texts, on which seed labels spread: a pattern is as trustworthy as the
 instances it surrounds, an instance as the patterns around it. After a few
 rounds in Spark, instances and patterns with high confidence label numbers without
@@ -12,8 +13,8 @@ a telling word, street words nobody listed, and first names; first names must al
 go before many different words, as names of organisations do not.
 
 One pass over the texts collects instances, a second one finds people by the
-learned first names. Only first names are broadcast (at most ``FIRST_NAMES``);
-candidates, shapes, patterns and surnames stay in tables.
+learned first names, which are broadcast up to ``BROADCAST_NAMES`` of them; more of them
+reach the texts that hold them by a join. Candidates, shapes, patterns and surnames stay in tables.
 """
 
 from __future__ import annotations
@@ -25,18 +26,23 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadloom.functions.keys import plain_id
 from threadloom.llm.words import INVISIBLE
-from threadloom.runtime import Scratch, broadcast_if_small
+from threadloom.runtime import Scratch, broadcast_if_small, hot_keys, join_hot
 
 ROUNDS, SPREAD = 4, 0.25
 #: Least confidence of a number, of an unlisted street word, of a first name.
 SURE, SURE_STREET, SURE_NAME = 0.5, 0.6, 0.3
 #: A first name goes before at least so many words, none of which takes more than this share.
 SUCCESSORS, LARGEST_SHARE = 3, 0.5
-#: Most first names kept (those seen most often); well above what any language has.
-FIRST_NAMES = 300_000
+#: Confidence of a form of address above which it is one.
+SURE_EMAIL = 0.5
+#: What a telling word before a number counts against the graph's scores of its shape (at most 1) and of what stands around it (at most a quarter each).
+TOLD = 1.25
+#: Most first names sent to every task; beyond, they are joined with the words of the texts.
+BROADCAST_NAMES = 300_000
 
 # Words that tell what kind of number follows (phone, identity, neither).
 PHONE_WORDS = frozenset("tel telefon telefonnummer téléphone telefono teléfono phone call cell mobile móvil movil portable handy handynummer whatsapp text ring llámame appelle appelez ruf rufen landline sms fax".split())
@@ -98,17 +104,27 @@ def _visible(text: str) -> tuple[str, list[int] | None]:
     return "".join(text[i] for i in at), at
 
 
-def _before(text: str, start: int) -> str:
-    """What stands before in the same sentence, at most 40 characters."""
-    part = text[max(0, start - 40) : start]
-    ends = [m.end() for m in BREAK.finditer(part) if m[0] != ":"]
-    return part[ends[-1] :] if ends else part
+def _before(text: str, start: int, words: int = 4, least: int = 40) -> str:
+    """What stands before in the same sentence: at least ``words`` words if there are as many, however long they are."""
+    size = least
+    while True:
+        part = text[max(0, start - size) : start]
+        ends = [m.end() for m in BREAK.finditer(part) if m[0] != ":"]
+        if ends:
+            return part[ends[-1] :]
+        # The first word of the part may be cut.
+        if size >= start or len(LETTERS.findall(part)) > words:
+            return part
+        size *= 4
 
 
 def _around(text: str, start: int, end: int) -> tuple[str, str]:
     """The two words before and the two after within the sentence, digits as 0."""
     before = LETTERS.findall(_before(text, start).lower().translate(ZERO))[-2:]
-    part = text[end : end + 30]
+    size = 30
+    while (len(LETTERS.findall(text[end : end + size])) < 3) and end + size < len(text):
+        size *= 4
+    part = text[end : end + size]
     stop = BREAK.search(part)
     after = LETTERS.findall((part[: stop.start()] if stop else part).lower().translate(ZERO))[:2]
     return " ".join(before), " ".join(after)
@@ -126,6 +142,11 @@ def _shape(number: str) -> str:
     return "".join("0" if c.isdigit() else "A" if c.isalpha() else c for c in number.strip())
 
 
+def _form(address: str) -> str:
+    """How at and dot are written in an address."""
+    return "".join(re.findall(r"[@()\[\]{}]|\b(?:at|ät|arroba|dot|punkt|punto|point)\b", address.lower())) or "@"
+
+
 def candidates_of(text: str) -> list[tuple[str, int, int, str, str | None]]:
     """kind, start, end, instance, seed of what may be a detail in a (visible) text; people apart."""
     out = []
@@ -133,13 +154,14 @@ def candidates_of(text: str) -> list[tuple[str, int, int, str, str | None]]:
     low = text.lower()
     if "@" in text or "at" in low and ("(at" in low or "[at" in low or "{at" in low or " dot " in low or " punkt " in low or " punto " in low or " point " in low):
         for m in EMAIL.finditer(text):
-            out.append(("email", m.start(), m.end(), "email", "email"))
+            out.append(("email", m.start(), m.end(), _form(m[0]), "email"))
             taken.append(m.span())
     for m in HOUSE.finditer(text):
-        span = _street(text, *m.span())
-        if span:
+        street = _street(text, *m.span())
+        if street:
+            span, form = street[:2], street[2]
             if not any(a < span[1] and span[0] < b for a, b in taken):
-                out.append(("street_address", *span, "street", "street_address"))
+                out.append(("street_address", *span, form, "street_address"))
                 taken.append(span)
             continue
         u = UNLISTED.match(text, m.end())
@@ -154,23 +176,27 @@ def candidates_of(text: str) -> list[tuple[str, int, int, str, str | None]]:
     return out
 
 
-def _street(text: str, start: int, end: int) -> tuple[int, int] | None:
-    """The span of a street with the house number at start:end, if there is one."""
+def _street(text: str, start: int, end: int) -> tuple[int, int, str] | None:
+    """The span of a street with the house number at start:end and its form, if there is one."""
     m = BEHIND.match(text, end)
     if m and not (m[1] and any(w.strip(".").lower() in BETWEEN for w in m[1].split())):
-        return start, m.end()
-    before = text[max(0, start - 60) : start]
+        return start, m.end(), "\x00en" if m[1] else "\x00fr"
+    # Seven words: those of the longest form and one that may be cut.
+    size = 60
+    while size < start and len(text[max(0, start - size) : start].split()) < 7:
+        size *= 4
+    before = text[max(0, start - size) : start]
     words = before.lower().replace(",", " ").split()[-6:]
     if not words:
         return None
     if words[-1].endswith(GERMAN_ENDS) or not GERMAN_LEADS.isdisjoint(words[-2:-1]):
         m = GERMAN.search(before)
         if m and (m[1] is None or m.end(1) - m.start(1) > 3 and before[m.start(1) - 1 : m.end(1)].lower() not in DE_TIMES):
-            return start - len(before) + m.start(), end
+            return start - len(before) + m.start(), end, "\x00de"
     if not SPANISH_LEADS.isdisjoint(words):
         m = SPANISH.search(before)
         if m:
-            return start - len(before) + m.start(), end
+            return start - len(before) + m.start(), end, "\x00es"
     return None
 
 
@@ -197,7 +223,8 @@ def _collect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for field, record, key, text in zip(pdf["field_name"], pdf["record_id"], pdf["text_key"], pdf["text"]):
             text, _ = _visible(text)
             for kind, start, end, instance, seed in candidates_of(text):
-                before, after = _around(text, start, end) if kind in ("number", "street") else ("", "")
+                before, after = _around(text, start, end)
+                kind = "street" if kind == "street_address" else kind  # listed and other streets share one graph
                 rows.append((kind, field, record, key, start, end, instance, seed, before, after, None, 1))
             for m in PAIR.finditer(text):
                 before, after = _around(text, m.start(), m.end())
@@ -294,16 +321,23 @@ def people_of(text: str, given: frozenset[str]) -> list[tuple[int, int, str, boo
     return out
 
 
+PEOPLE = "field_name string, record_id string, text_key bigint, start int, stop int, surname string, capital boolean"
+#: A run of letters, as the texts are searched for first names.
+RUN_OF_LETTERS = re.compile(r"[^\W\d_]+")
+
+
 def _people(shared):
-    cut = re.compile(r"[^\W\d_]+")
+    """Finds people by the first names of a broadcast, or by those that come with each text (column ``given``)."""
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        given: frozenset[str] = shared.value
+        known: frozenset[str] = shared.value if shared is not None else frozenset()
         for pdf in batches:
             rows = []
-            for field, record, key, text in zip(pdf["field_name"], pdf["record_id"], pdf["text_key"], pdf["text"]):
+            own = pdf["given"] if shared is None else [known] * len(pdf)
+            for field, record, key, text, given in zip(pdf["field_name"], pdf["record_id"], pdf["text_key"], pdf["text"], own):
                 text, _ = _visible(text)
-                if given.isdisjoint(cut.findall(text.lower())):
+                given = given if shared is not None else frozenset(given)
+                if given.isdisjoint(RUN_OF_LETTERS.findall(text.lower())):
                     continue
                 mails = [m.span() for m in EMAIL.finditer(text)] if "@" in text or "at" in text else []
                 for start, end, surname, capital in people_of(text, given):
@@ -314,6 +348,26 @@ def _people(shared):
     return find
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _letters(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: sorted(set(RUN_OF_LETTERS.findall(_visible(t)[0].lower()))))
+
+
+def people(texts: DataFrame, firsts: DataFrame, scratch: Scratch, limit: int = BROADCAST_NAMES) -> DataFrame:
+    """Candidate people (``PEOPLE``) in texts by first names (instance); few names are broadcast, many are joined."""
+    n = firsts.count()
+    if not n:
+        return texts.sparkSession.createDataFrame([], PEOPLE)
+    if n <= limit:
+        known = texts.sparkSession.sparkContext.broadcast(frozenset(r["instance"] for r in firsts.collect()))
+        return texts.mapInPandas(_people(known), PEOPLE)
+    # A name that a third of all texts hold is one row of the names, and its texts are pairs of its join: hot ones are split off.
+    distinct = texts.select("text_key", "text").distinct()
+    held = scratch.keep(distinct.select("text_key", F.explode(_letters("text")).alias("instance")))
+    per = join_hot(held, firsts, "instance", hot_keys(held, "instance"), "left_semi").groupBy("text_key").agg(F.collect_set("instance").alias("given"))  # no more than a text has words
+    return texts.join(per, "text_key").mapInPandas(_people(None), PEOPLE)
+
+
 def find_details(comments: DataFrame) -> DataFrame:
     """field_name, record_id, text_key, start, stop, pii_type: every detail with its place.
 
@@ -328,18 +382,16 @@ def find_details(comments: DataFrame) -> DataFrame:
     texts = texts_of(comments)
     seen = scratch.keep(texts.mapInPandas(_collect, COLUMNS))
     cols = ["field_name", "record_id", "text_key", "start", "stop"]
-    plain = seen.filter(F.col("kind").isin("email", "street_address")).select(*cols, F.col("kind").alias("pii_type"))
 
-    graph = seen.filter(F.col("kind").isin("number", "street", "pair"))
+    graph = seen.filter(F.col("kind").isin("email", "number", "street", "pair"))
     sides = graph.select("kind", "instance", "n", F.explode(F.array(F.concat(F.lit("L "), "before"), F.concat(F.lit("R "), "after"))).alias("pattern"))
     edges = scratch.keep(sides.groupBy("kind", "instance", "pattern").agg(F.sum("n").alias("n")))
-    listed = seen.filter(F.col("kind") == "street_address").groupBy().agg(F.count(F.lit(1)).alias("n")).select(F.lit("street").alias("kind"), F.lit("\x00listed").alias("instance"), F.lit("street_address").alias("type"), "n")
     told = graph.filter(F.col("seed").isNotNull()).groupBy("kind", "instance", F.col("seed").alias("type")).agg(F.sum("n").alias("n"))
-    seeds = scratch.keep(told.unionByName(listed.filter("n > 0")))
+    seeds = scratch.keep(told)
     scores, patterns = spread(edges, seeds, scratch)
 
     numbers = seen.filter(F.col("kind") == "number")
-    vote = lambda t: F.when(F.col("seed") == t, 2.0).otherwise(0.0)
+    vote = lambda t: F.when(F.col("seed") == t, TOLD).otherwise(0.0)
     wide_i = scores.filter(F.col("kind") == "number").groupBy("instance").agg(*[F.max(F.when(F.col("type") == t, F.col("score"))).alias(f"i_{t}") for t in ("phone", "id_number", "other")])
     wide_p = patterns.filter(F.col("kind") == "number").groupBy("pattern").agg(*[F.max(F.when(F.col("type") == t, F.col("score"))).alias(f"p_{t}") for t in ("phone", "id_number", "other")])
     left = wide_p.select(F.col("pattern").alias("_l"), *[F.col(f"p_{t}").alias(f"l_{t}") for t in ("phone", "id_number", "other")])
@@ -350,24 +402,19 @@ def find_details(comments: DataFrame) -> DataFrame:
     kind = F.when(best < SURE, None).when(s["other"] == best, None).when(s["phone"] == best, "phone").otherwise("id_number")
     told_numbers = judged.select(*cols, kind.alias("pii_type")).filter(F.col("pii_type").isNotNull())
 
-    street_words = scores.filter((F.col("kind") == "street") & (F.col("type") == "street_address") & (F.col("score") >= SURE_STREET)).select("instance")
-    streets = seen.filter(F.col("kind") == "street").join(broadcast_if_small(street_words), "instance", "left_semi").select(*cols, F.lit("street_address").alias("pii_type"))
+    # Forms of addresses and words of streets by their score, listed ones as well as others.
+    by_score = lambda kind, t, sure: seen.filter(F.col("kind") == kind).join(broadcast_if_small(scores.filter((F.col("kind") == kind) & (F.col("type") == t) & (F.col("score") >= sure)).select("instance")), "instance", "left_semi").select(*cols, F.lit(t).alias("pii_type"))
+    plain = by_score("email", "email", SURE_EMAIL).unionByName(by_score("street", "street_address", SURE_STREET))
 
     pairs = seen.filter(F.col("kind") == "pair").groupBy("instance", "follower").agg(F.sum("n").alias("n"))
     pairs = scratch.keep(pairs)
     common = scratch.keep(common_words(pairs, seen.filter(F.col("kind") == "lower").select("instance", "n")))
-    firsts = first_names(pairs, common, scores)
-    given = [r["instance"] for r in firsts.orderBy(F.desc("n"), "instance").limit(FIRST_NAMES).collect()]
-    out = plain.unionByName(told_numbers).unionByName(streets)
-    if given:
-        known = spark.sparkContext.broadcast(frozenset(given))
-        people = texts.mapInPandas(_people(known), "field_name string, record_id string, text_key bigint, start int, stop int, surname string, capital boolean")
-        # In capitals any word but a common one is a surname; otherwise it must have been seen in capitals after a first name.
-        names = spark.createDataFrame([(g,) for g in given], "instance string")
-        learned = pairs.join(broadcast_if_small(names), "instance", "left_semi").select(F.col("follower").alias("surname")).distinct().join(common.select(F.col("word").alias("surname")), "surname", "left_anti").withColumn("_seen", F.lit(True))
-        people = people.join(common.select(F.col("word").alias("surname")), "surname", "left_anti").join(learned, "surname", "left").filter(F.col("capital") | F.col("_seen"))
-        out = out.unionByName(people.select(*cols, F.lit("person_name").alias("pii_type")))
-    return out
+    firsts = scratch.keep(first_names(pairs, common, scores).select("instance"))
+    seen_people = people(texts, firsts, scratch)
+    # In capitals any word but a common one is a surname; otherwise it must have been seen in capitals after a first name.
+    learned = pairs.join(broadcast_if_small(firsts), "instance", "left_semi").select(F.col("follower").alias("surname")).distinct().join(common.select(F.col("word").alias("surname")), "surname", "left_anti").withColumn("_seen", F.lit(True))
+    named = seen_people.join(common.select(F.col("word").alias("surname")), "surname", "left_anti").join(learned, "surname", "left").filter(F.col("capital") | F.col("_seen"))
+    return plain.unionByName(told_numbers).unionByName(named.select(*cols, F.lit("person_name").alias("pii_type")))
 
 
 def found(details: DataFrame) -> DataFrame:
