@@ -4,7 +4,8 @@ Rows never leave the executors: every Newton step is one aggregate of X'WX and
 X'(y - p), summed per partition in NumPy and then by Spark, so the driver gets
 k x k numbers. Cluster sums of scores are a groupBy (map-side combined, so a hot
 cluster is a few rows), and their outer products are summed the same way. The
-two-way covariance is V1 + V2 - V12 with the usual small-sample factors.
+two-way covariance is V1 + V2 - V12 with the usual small-sample factors. Rows with a
+null term or a category outside the design take no part; ``Fit.n`` counts those that do.
 """
 
 from __future__ import annotations
@@ -43,7 +44,16 @@ class Design:
         return out
 
     def vector(self) -> Column:
-        return F.array(*[F.coalesce(c, F.lit(0.0)) for c in self.columns()])
+        return F.array(*self.columns())
+
+    def complete(self) -> Column:
+        """True for rows that have every term and, of every category, a level of the design; others take no part."""
+        known = [F.coalesce(F.col(name).isin(list(levels)), F.lit(False)) for name, levels in self.categories.items()]
+        there = [c.isNotNull() & ~F.isnan(c) for c in self.columns()[1 : 1 + len(self.terms)]]
+        out = F.lit(True)
+        for c in [*there, *known]:
+            out = out & F.coalesce(c, F.lit(False))
+        return out
 
 
 def levels(df: DataFrame, column: str, limit: int = 500) -> list[str]:
@@ -138,7 +148,7 @@ def _sandwich(rows: DataFrame, bread: np.ndarray, score, clusters: Sequence[str]
 
 
 def _rows(df: DataFrame, design: Design, y: str, clusters: Sequence[str]) -> DataFrame:
-    return df.filter(F.col(y).isNotNull()).select(design.vector().alias("x"), F.col(y).cast("double").alias("y"), *[F.col(c).cast("string").alias(c) for c in clusters])
+    return df.filter(F.col(y).isNotNull() & design.complete()).select(design.vector().alias("x"), F.col(y).cast("double").alias("y"), *[F.col(c).cast("string").alias(c) for c in clusters])
 
 
 def fit_logit(df: DataFrame, design: Design, y: str, clusters: Sequence[str] = (), iterations: int = 50, tolerance: float = 1e-8) -> Fit:
@@ -196,8 +206,8 @@ def fit_ols(df: DataFrame, design: Design, y: str, clusters: Sequence[str] = ())
 
 
 def mean_prediction(df: DataFrame, design: Design, fit: Fit, overrides: dict[str, Column] | None = None) -> tuple[float, np.ndarray]:
-    """Average predicted probability with columns overridden, and its gradient."""
-    rows = df.withColumns(overrides or {}).select(design.vector().alias("x"))
+    """Average predicted probability of the complete rows with columns overridden, and its gradient."""
+    rows = df.withColumns(overrides or {}).filter(design.complete()).select(design.vector().alias("x"))
     k, b = len(design.names), fit.beta
 
     def part(pdf: pd.DataFrame) -> np.ndarray:

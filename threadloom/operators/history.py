@@ -4,9 +4,9 @@ What an author did strictly before a thread began is an as-of aggregate. Probes
 (author, thread start) and events (author, time) are laid on one time line per
 author, probes before events of the same second; a running sum then gives every
 probe what came before it. Distinct counts become running sums of flags on first
-occurrences. An author with a third of all events is split by time slices:
-within a slice the running sums are windows, and slice totals, of which there
-are few, carry the rest (``slices``).
+occurrences. An author with many of all events is cut into slices of about equal
+counts: within a slice the running sums are windows, and slice totals, of which there
+are few, carry the rest.
 """
 
 from __future__ import annotations
@@ -19,24 +19,26 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.text import entropy_of, safe_div
 from threadloom.operators.records import EARLY, in_order
+from threadloom.runtime import cut_hot
 
 DAY = 86400.0
-#: Length of a time slice of an author's line in seconds.
-SLICE = 7 * DAY
 
 
-def before(probes: DataFrame, events: DataFrame, key: str, at: str, time: str, sums: Mapping[str, Column], slice_seconds: float = SLICE) -> DataFrame:
+def before(probes: DataFrame, events: DataFrame, key: str, at: str, time: str, sums: Mapping[str, Column], source: DataFrame) -> DataFrame:
     """``probes`` with the sums of the key's events strictly before ``at``; 0 where there are none.
 
-    Two-level running sums: windows within (key, time slice), and running sums of
-    slice totals. No window holds more than one slice of one key.
+    Windows within (key, slice), and running sums of slice totals where keys are
+    cut. source: a written table with ``key`` and ``created_utc`` by which hot keys are cut.
     """
     names = list(sums)
     line_p = probes.select(*probes.columns, F.col(at).alias("_t"), F.lit(0).alias("_kind"), *[F.lit(0.0).alias(f"_{n}") for n in names])
     line_e = events.select(F.col(key), F.col(time).alias("_t"), F.lit(1).alias("_kind"), *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(f"_{n}") for n, c in sums.items()])
-    line = line_p.unionByName(line_e, allowMissingColumns=True).withColumn("_slice", F.floor(F.col("_t") / slice_seconds))
+    line = line_p.unionByName(line_e, allowMissingColumns=True)
+    line, several = cut_hot(line, key, ["_t", "_kind"], source.select(key, F.col("created_utc").alias("_t"), F.lit(1).alias("_kind")))
     w = Window.partitionBy(key, "_slice").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, -1)
     inner = line.select("*", *[F.coalesce(F.sum(f"_{n}").over(w), F.lit(0.0)).alias(f"_in_{n}") for n in names]).filter(F.col("_kind") == 0)
+    if not several:
+        return inner.select(*[F.col(c) for c in probes.columns], *[F.col(f"_in_{n}").alias(n) for n in names])
     totals = line.groupBy(key, "_slice").agg(*[F.sum(f"_{n}").alias(f"_{n}") for n in names])
     back = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(key, "_slice", *[F.coalesce(F.sum(f"_{n}").over(back), F.lit(0.0)).alias(f"_c_{n}") for n in names])
@@ -56,7 +58,7 @@ def pair_history(recs: DataFrame) -> DataFrame:
     probes = r.groupBy("submission_id", "author").agg(F.min("thread_start").alias("thread_start"))
     ev = first_of(first_of(r, ["author", "subreddit"]).withColumnRenamed("_new", "_new_sub"), ["author", "grp"]).withColumnRenamed("_new", "_new_grp")
     start = r.agg(F.min("created_utc").alias("_origin"))
-    h = before(probes, ev, "author", "thread_start", "created_utc", {"prior_comments": F.lit(1), "prior_subreddits": F.col("_new_sub"), "prior_groups": F.col("_new_grp"), "prior_corrections": F.col("pred")})
+    h = before(probes, ev, "author", "thread_start", "created_utc", {"prior_comments": F.lit(1), "prior_subreddits": F.col("_new_sub"), "prior_groups": F.col("_new_grp"), "prior_corrections": F.col("pred")}, recs)
     h = h.select("submission_id", "author", "thread_start", *[F.col(c).cast("bigint").alias(c) for c in ("prior_comments", "prior_subreddits", "prior_groups", "prior_corrections")]).join(F.broadcast(start))  # one row
     return h.withColumns({
         "prior_rate": safe_div(F.col("prior_corrections"), F.col("prior_comments")), "prior_cross_subreddit": (F.col("prior_subreddits") > 1).cast("int"), "prior_cross_group": (F.col("prior_groups") > 1).cast("int"),
@@ -69,7 +71,7 @@ def history_diversity(recs: DataFrame, groups: list[str]) -> DataFrame:
     r = in_order(recs.filter(F.col("author").isNotNull()))
     probes = r.groupBy("submission_id", "author").agg(F.min("thread_start").alias("thread_start"))
     names = {f"group_{k}": (F.col("grp") == g) for k, g in enumerate(sorted(groups))}
-    h = before(probes, r, "author", "thread_start", "created_utc", {n: c.cast("int") for n, c in names.items()})
+    h = before(probes, r, "author", "thread_start", "created_utc", {n: c.cast("int") for n, c in names.items()}, recs)
     raw = entropy_of(F.array(*names))
     ln_k = F.lit(math.log(max(2, len(groups))))
     out = h.select("submission_id", "author", *[F.col(n).cast("bigint").alias(n) for n in names], (raw / ln_k).alias("group_entropy"), F.when(sum((F.col(n) for n in names), F.lit(0.0)) > 0, F.exp(raw)).otherwise(0.0).alias("effective_groups"))
@@ -97,7 +99,7 @@ def prior_contexts(recs: DataFrame, opening: int = EARLY) -> DataFrame:
     start = in_order(recs).groupBy("submission_id").agg(F.min("thread_start").alias("thread_start"))
     probes = ev.select("submission_id", "author").join(start, "submission_id")
     sums = {"prior_entries": F.lit(1), "_seen": F.col("seen_comments"), "_corr": F.col("seen_corrections"), "_host": F.col("seen_hostile"), "_with": (F.col("seen_corrections") > 0).cast("int"), "_opened": (F.col("position") == 1).cast("int")}
-    h = before(probes, ev.select("author", "entry_time", "seen_comments", "seen_corrections", "seen_hostile", "position"), "author", "thread_start", "entry_time", sums)
+    h = before(probes, ev.select("author", "entry_time", "seen_comments", "seen_corrections", "seen_hostile", "position"), "author", "thread_start", "entry_time", sums, recs)
     return h.select(
         "submission_id", "author", F.col("prior_entries").cast("bigint").alias("prior_entries"), safe_div(F.col("_corr"), F.col("_seen")).alias("prior_seen_correction_rate"), safe_div(F.col("_host"), F.col("_seen")).alias("prior_seen_hostility_rate"),
         safe_div(F.col("_with"), F.col("prior_entries")).alias("prior_exposed_share"), safe_div(F.col("_opened"), F.col("prior_entries")).alias("prior_opened_share"), safe_div(F.col("_seen"), F.col("prior_entries")).alias("prior_mean_seen"),

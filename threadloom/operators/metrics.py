@@ -8,24 +8,37 @@ from pyspark.sql import functions as F
 from threadloom.functions.text import safe_div
 
 
-def curve(df: DataFrame, y: str = "y", score: str = "score", by: list[str] | None = None) -> DataFrame:
+#: Slices of [min, max] that distinct scores are cut into: windows run within one, sums of them carry the rest.
+SLICES = 1024
+
+
+def curve(df: DataFrame, y: str = "y", score: str = "score", by: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """Per distinct score: positives and rows at it and above it (tp, n_above), precision, recall.
 
-    Rows are reduced to distinct scores before the global order is taken, so the
-    window runs over scores, not rows.
+    Rows (or their ``weight``) are first summed per distinct score. The order of
+    scores is then taken in two levels: windows within slices of the range of scores,
+    and running sums of the slices' totals, at most ``SLICES`` a group. No window
+    holds all scores, however many differ.
     """
     by = by or []
-    g = df.groupBy(*by, score).agg(F.sum(F.col(y).cast("bigint")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*by).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = F.sum("pos").over(Window.partitionBy(*by))
-    c = g.withColumns({"tp": F.sum("pos").over(w), "n_above": F.sum("n").over(w), "total_pos": total, "total": F.sum("n").over(Window.partitionBy(*by))})
+    w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
+    g = df.filter(F.col(score).isNotNull()).groupBy(*by, score).agg(F.sum(F.when(F.col(y) == 1, w).otherwise(0)).alias("pos"), F.sum(w).alias("n"))
+    # The number of a score's slice is a rising function of the score: scores are compared, never rounded.
+    g = g.withColumn("_slice", F.floor(F.atan(F.col(score) * 4 - 2) * (SLICES / 3.2)).cast("int"))
+    per = g.groupBy(*by, "_slice").agg(F.sum("pos").alias("_pos"), F.sum("n").alias("_n"))
+    back = Window.partitionBy(*by).orderBy(F.col("_slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    all_ = Window.partitionBy(*by)
+    per = per.select(*by, "_slice", *[F.coalesce(F.sum(c).over(back), F.lit(0)).alias(f"{c}_before") for c in ("_pos", "_n")], F.sum("_pos").over(all_).alias("total_pos"), F.sum("_n").over(all_).alias("total"))
+    inner = Window.partitionBy(*by, "_slice").orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    c = g.withColumns({"_tp": F.sum("pos").over(inner), "_above": F.sum("n").over(inner)}).join(per, [*by, "_slice"])
+    c = c.select(*by, score, "pos", "n", (F.col("_tp") + F.col("_pos_before")).alias("tp"), (F.col("_above") + F.col("_n_before")).alias("n_above"), "total_pos", "total")
     return c.withColumns({"precision": safe_div(F.col("tp"), F.col("n_above")), "recall": safe_div(F.col("tp"), F.col("total_pos"))})
 
 
-def ranking(df: DataFrame, y: str = "y", score: str = "score", by: list[str] | None = None) -> DataFrame:
-    """average_precision and roc_auc (null with one class only)."""
+def ranking(df: DataFrame, y: str = "y", score: str = "score", by: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """n, positives, average_precision and roc_auc (null with one class only)."""
     by = by or []
-    c = curve(df, y, score, by)
+    c = curve(df, y, score, by, weight)
     # Rank formula: each positive beats the negatives below it and half of those level with it.
     neg_at, neg_below = F.col("n") - F.col("pos"), (F.col("total") - F.col("total_pos")) - (F.col("n_above") - F.col("tp"))
     wins = F.sum(F.col("pos") * (neg_below + neg_at / 2))

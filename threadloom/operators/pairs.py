@@ -6,24 +6,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.keys import plain_id
-from threadloom.functions.lexicon import first_matching_query
+from threadloom.functions.lexicon import first_matching_query, query_terms
 from threadloom.functions.text import pair_id
 from threadloom.operators.records import in_order
+from threadloom.runtime import BROADCAST_BYTES, cut_hot, estimated_bytes
 
+#: Characters of the index entries of queries that are too many to be broadcast.
+PIECE = 3
 
-def nearest_prior_claim(recs: DataFrame, is_claim: F.Column, slice_seconds: float = 86400.0) -> DataFrame:
+
+def nearest_prior_claim(recs: DataFrame, is_claim: F.Column) -> DataFrame:
     """comment_id, claim_id: the last earlier comment of the thread that is a claim, null if none.
 
-    Two-level: a window within a thread's time slice; where it finds none, the
-    last claim of the slices before, from one row a slice.
+    A window per thread; a thread with many of the rows is cut into slices, and
+    where a slice has none before a row, the last claim of the slices before it
+    counts, from one row a slice. Give a written table.
     """
-    r = recs.select("submission_id", "comment_id", "created_utc", F.when(is_claim, F.col("comment_id")).alias("_claim"), F.floor(F.col("created_utc") / slice_seconds).alias("_slice"))
+    r = recs.select("submission_id", "comment_id", "created_utc", F.when(is_claim, F.col("comment_id")).alias("_claim"))
+    r, several = cut_hot(r, "submission_id", ["created_utc", "comment_id"], recs)
+    w = Window.partitionBy("submission_id", "_slice").orderBy("created_utc", "comment_id").rowsBetween(Window.unboundedPreceding, -1)
+    inner = r.withColumn("_in", F.last("_claim", ignorenulls=True).over(w))
+    if not several:
+        return inner.select("submission_id", "comment_id", F.col("_in").alias("claim_id"))
     last = F.max(F.when(F.col("_claim").isNotNull(), F.struct("created_utc", "comment_id")))
     per = r.groupBy("submission_id", "_slice").agg(last.alias("_last"))
     back = Window.partitionBy("submission_id").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     per = per.select("submission_id", "_slice", F.last("_last.comment_id", ignorenulls=True).over(back).alias("_before"))
-    w = Window.partitionBy("submission_id", "_slice").orderBy("created_utc", "comment_id").rowsBetween(Window.unboundedPreceding, -1)
-    inner = r.withColumn("_in", F.last("_claim", ignorenulls=True).over(w))
     return inner.join(per, ["submission_id", "_slice"]).select("submission_id", "comment_id", F.coalesce("_in", "_before").alias("claim_id"))
 
 
@@ -61,16 +69,30 @@ def reduce_to_comments(pairs: DataFrame, score: str = "public_correction_score")
     return p.groupBy("comment_id").agg(F.max("s").alias("score"), F.count(F.lit(1)).alias("pairs"), F.min_by("pair_id", F.struct(-F.col("s"), F.col("pair_id"))).alias("best_pair"))
 
 
-def claim_matches(posts: DataFrame, claims: DataFrame, text: str, key: str, per_claim: int | None = None) -> DataFrame:
+def claim_matches(posts: DataFrame, claims: DataFrame, text: str, key: str, per_claim: int | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Posts that match a claim by any of its queries, with the first matching query.
 
-    The claims become one array in a broadcast row of bounded size, so a post is
-    tested against all of them where it lies; ``per_claim`` keeps the first so
-    many posts of each claim by key.
+    Claims of at most ``BROADCAST_BYTES`` become one array in a broadcast row, and a post is
+    tested against all of them where it lies. Beyond that each query is
+    entered in an index under the first characters of its longest term, and
+    posts look up the pieces of their texts: work then grows with the matches and not with
+    posts x claims. ``per_claim`` keeps the first so many posts of each claim by key.
+    A null text or a claim without queries matches nothing.
     """
-    array = claims.select(F.collect_list(F.struct("claim_id", "queries")).alias("_claims"))
-    hit = posts.select(key, F.col(text).alias("_text")).join(F.broadcast(array)).select(key, "_text", F.explode("_claims").alias("_c"))
-    m = hit.select(F.col("_c.claim_id").alias("claim_id"), key, first_matching_query(F.col("_text"), F.col("_c.queries")).alias("query")).filter(F.col("query").isNotNull())
+    if estimated_bytes(claims) <= limit:
+        array = claims.select(F.collect_list(F.struct("claim_id", "queries")).alias("_claims"))  # within the limit
+        hit = posts.select(key, F.col(text).alias("_text")).join(F.broadcast(array)).select(key, "_text", F.explode("_claims").alias("_c"))
+        m = hit.select(F.col("_c.claim_id").alias("claim_id"), key, first_matching_query(F.col("_text"), F.col("_c.queries")).alias("query")).filter(F.col("query").isNotNull())
+    else:
+        q = claims.select("claim_id", F.posexplode("queries").alias("_pos", "query")).withColumn("_terms", query_terms(F.col("query"))).filter(F.size("_terms") > 0)
+        longest = F.array_max(F.transform("_terms", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+        index = q.select("claim_id", "_pos", "query", F.substring(longest, 1, PIECE).alias("_piece"))
+        low = F.lower(F.coalesce(F.col(text), F.lit("")))
+        places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i: F.length(low) > 0)
+        pieces = F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(*[F.substring(low, i, F.lit(n)) for n in range(1, PIECE + 1)]))))
+        near = posts.select(key, F.col(text).alias("_text"), F.explode(pieces).alias("_piece")).join(index, "_piece")
+        near = near.filter(first_matching_query(F.col("_text"), F.array("query")).isNotNull())
+        m = near.groupBy("claim_id", key).agg(F.min_by("query", "_pos").alias("query"))
     if per_claim is None:
         return m
     w = Window.partitionBy("claim_id").orderBy(key)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import lexicon, text
 from threadloom.functions.keys import author, plain_id, plain_key
+from threadloom.runtime import cut_hot
 
 EARLY = 10
 
@@ -46,16 +47,19 @@ def records(comments: DataFrame, preds: DataFrame) -> DataFrame:
     )
 
 
-def in_order(frame: DataFrame, slice_seconds: float = 86400.0) -> DataFrame:
+def in_order(frame: DataFrame) -> DataFrame:
     """Adds rank (from 1 within the thread by time, then id) and thread_start.
 
-    Ranks are two-level: a window within a thread's time slice, plus the running
-    count of its earlier slices, so a thread with a third of all rows is in as many
-    tasks as it has slices.
+    A window per thread; a thread that holds much of the table is cut into
+    slices of about equal counts, even if all of it lies within a day or a
+    second, and the running counts of its slices are added. Give a written table.
     """
-    f = frame.withColumn("_slice", F.floor(F.col("created_utc") / slice_seconds))
-    per = f.groupBy("submission_id", "_slice").agg(F.count(F.lit(1)).alias("_n"), F.min("created_utc").alias("_first"))
+    f, several = cut_hot(frame, "submission_id", ["created_utc", "comment_id"])
     thread = Window.partitionBy("submission_id")
+    if not several:
+        rank = F.row_number().over(thread.orderBy("created_utc", "comment_id"))
+        return frame.select(*[F.col(c) for c in frame.columns], rank.cast("bigint").alias("rank"), F.min("created_utc").over(thread).alias("thread_start"))
+    per = f.groupBy("submission_id", "_slice").agg(F.count(F.lit(1)).alias("_n"), F.min("created_utc").alias("_first"))
     before = F.coalesce(F.sum("_n").over(thread.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = per.select("submission_id", "_slice", before.alias("_before"), F.min("_first").over(thread).alias("thread_start"))
     inner = F.row_number().over(Window.partitionBy("submission_id", "_slice").orderBy("created_utc", "comment_id"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.runtime import Scratch, broadcast_if_small
+
 
 def shuffle_key(key: str, seed: int) -> Column:
     """A digest that any engine can repeat; the order of a sample."""
@@ -21,12 +23,30 @@ def stratified(df: DataFrame, strata: list[str], key: str, n: int, seed: int) ->
     return df.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= n).drop("_k")
 
 
+def ranked_in(df: DataFrame, groups: list[str], order: str, key: str) -> DataFrame:
+    """Adds ``_rank`` (from 1 within the groups by ``order``, a hexadecimal digest, then key) and ``_total``.
+
+    Two levels: windows within 4,096 slices of the digests, and running counts of the
+    slices. Two labels thus make thousands of tasks, not two.
+    """
+    d = df.withColumn("_slice", F.substring(order, 1, 3))
+    per = d.groupBy(*groups, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    all_ = Window.partitionBy(*groups)
+    before = F.coalesce(F.sum("_n").over(all_.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = per.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_slice").alias("_s"), before.alias("_before"), F.sum("_n").over(all_).alias("_total"))
+    inner = F.row_number().over(Window.partitionBy(*groups, "_slice").orderBy(order, key))
+    same = F.col("_slice") == F.col("_s")
+    for i, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    r = d.withColumn("_k", inner).join(broadcast_if_small(per), same)
+    return r.select(*[c for c in d.columns if c != "_slice"], (F.col("_k") + F.col("_before")).alias("_rank"), "_total")
+
+
 def stratified_fill(df: DataFrame, strata: list[str], key: str, per_stratum: int, total: int, score: str, seed: int, centre: float = 0.5) -> DataFrame:
-    """``per_stratum`` rows of each stratum, filled up to ``total`` with the rows nearest to ``centre``."""
-    w = Window.partitionBy(*strata).orderBy(shuffle_key(key, seed), key)
-    ranked = df.withColumn("_k", F.row_number().over(w)).withColumn("_fill", (F.col("_k") > per_stratum).cast("int"))
-    order = [F.col("_fill"), F.when(F.col("_fill") == 1, F.abs(F.col(score) - centre)).otherwise(0.0), shuffle_key(key, seed), F.col(key)]
-    return ranked.orderBy(*order).limit(total).drop("_k", "_fill")
+    """``per_stratum`` rows of each stratum, filled up to ``total`` with the rows nearest to ``centre``; ``total`` bounds all."""
+    ranked = ranked_in(df.withColumn("_s5", shuffle_key(key, seed)), strata, "_s5", key).withColumn("_fill", (F.col("_rank") > per_stratum).cast("int"))
+    order = [F.col("_fill"), F.when(F.col("_fill") == 1, F.abs(F.col(score) - centre)).otherwise(0.0), F.col("_s5"), F.col(key)]
+    return ranked.orderBy(*order).limit(total).withColumn("phase", F.when(F.col("_fill") == 1, "fill").otherwise("stratum")).select(*df.columns, "phase")
 
 
 def quota(df: DataFrame, pools: dict[str, tuple[Column, int]], key: str, priority: Column) -> DataFrame:
@@ -69,11 +89,11 @@ def group_split(df: DataFrame, group: str, shares: dict[str, float], seed: int)
 
 def label_split(df: DataFrame, label: str, key: str, shares: dict[str, float], seed: int) -> DataFrame:
     """Adds split: the shares hold within every label."""
-    w = Window.partitionBy(label).orderBy(shuffle_key(key, seed), key)
-    at = (F.row_number().over(w) - 1) / F.count(F.lit(1)).over(Window.partitionBy(label))
+    ranked = ranked_in(df.withColumn("_s5", shuffle_key(key, seed)), [label], "_s5", key)
+    at = (F.col("_rank") - 1) / F.col("_total")
     upto, case = 0.0, None
     names = list(shares)
     for name in names[:-1]:
         upto += shares[name]
         case = (F.when if case is None else case.when)(at < upto, name)
-    return df.withColumn("split", F.lit(names[-1]) if case is None else case.otherwise(names[-1]))
+    return ranked.withColumn("split", F.lit(names[-1]) if case is None else case.otherwise(names[-1])).select(*df.columns, "split")

@@ -10,53 +10,49 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import safe_div
+from threadloom.operators import metrics
+from threadloom.runtime import Scratch
 
-#: Most distinct (score, label) cells that a bootstrap resamples; finer scores are rounded until they fit.
-CELLS = 200_000
+#: Replicates drawn in one pass over the rows.
+AT_ONCE = 50
 
 
-def bootstrap(df: DataFrame, replicates: int = 200, seed: int = 1, threshold: float = 0.5, y: str = "y", score: str = "score") -> DataFrame:
-    """replicate, average_precision, roc_auc, f1 of samples with replacement; one-class samples are left out.
+def bootstrap(df: DataFrame, replicates: int = 200, seed: int = 1, threshold: float = 0.5, y: str = "y", score: str = "score", by: list[str] | None = None) -> DataFrame:
+    """[by,] replicate, average_precision, roc_auc, f1 of samples with replacement; one-class samples are left out.
 
-    A sample of rows with replacement is a multinomial draw over distinct
-    (score, label) cells, so only the cell counts go to the workers.
+    Every row gets, in every replicate, a Poisson(1) number of copies: the
+    resample of a table of which no part has to know the size of the whole. Rows
+    of one exact (score, label) are drawn together, as a Poisson(n) number of
+    copies; no score is rounded and nothing is collected. Draws are a function of
+    seed, replicate and cell. The metrics are sums over cells in the order of
+    scores, with prefix sums as in ``metrics.curve``.
     """
-    spark = df.sparkSession
-    digits = 6
-    while True:
-        cells = df.filter(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(F.round(F.col(score), digits).alias("s"), F.col(y).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n"))
-        rows = cells.limit(CELLS + 1).collect()
-        if len(rows) <= CELLS or digits == 2:
-            break
-        digits -= 1
-    rows.sort(key=lambda r: (-r["s"], r["y"]))
-    s, lab, n = (np.array([r[c] for r in rows], float) for c in ("s", "y", "n"))
-    shared = spark.sparkContext.broadcast((s, lab, n))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s, lab, n = shared.value
-        total = int(n.sum())
-        for pdf in batches:
-            out = []
-            for k in pdf["id"]:
-                if not total:
+    by = by or []
+    cells = df.filter(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(score).cast("double").alias("_score"), F.col(y).cast("int").alias("_y")).agg(F.count(F.lit(1)).alias("_n"))
+    cells = Scratch(df.sparkSession, "bootstrap").keep(cells.withColumn("_cell", F.xxhash64(*by, "_score", "_y")))
+    out = None
+    for lo in range(0, replicates, AT_ONCE):
+        ids = list(range(lo, min(replicates, lo + AT_ONCE)))
+
+        def draw(batches: Iterator[pd.DataFrame], ids=ids) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if not len(pdf):
                     continue
-                w = np.random.default_rng([seed, int(k)]).multinomial(total, n / n.sum()).astype(float)
-                pos, neg = w * lab, w * (1 - lab)
-                if not pos.sum() or not neg.sum():
-                    continue
-                _, at = np.unique(-s, return_inverse=True)
-                p, q = np.bincount(at, pos), np.bincount(at, neg)
-                tp, above = p.cumsum(), (p + q).cumsum()
-                ap = (p * tp / np.maximum(above, 1)).sum() / p.sum()
-                auc = (p * (q.sum() - q.cumsum() + q / 2)).sum() / (p.sum() * q.sum())
-                hit = s >= threshold
-                tpt, pred = pos[hit].sum(), w[hit].sum()
-                pr, rc = (tpt / pred if pred else 0.0), tpt / pos.sum()
-                out.append((int(k), ap, auc, 2 * pr * rc / (pr + rc) if pr + rc else 0.0))
-            yield pd.DataFrame(out, columns=["replicate", "average_precision", "roc_auc", "f1"]).astype({"replicate": "int64"})
-
-    return spark.range(replicates).mapInPandas(run, "replicate bigint, average_precision double, roc_auc double, f1 double")
+                # One generator a cell and pass, so that partitions and batches change nothing.
+                w = np.stack([np.random.default_rng([seed, ids[0], int(c) & 0xFFFFFFFFFFFFFFFF]).poisson(n, len(ids)) for c, n in zip(pdf["_cell"], pdf["_n"])])
+                row, rep = np.nonzero(w)
+                part = pdf.iloc[row][[*by, "_score", "_y"]].reset_index(drop=True)
+                yield part.assign(replicate=np.array(ids, np.int64)[rep], _w=w[row, rep].astype(np.int64))
+
+        kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in by)
+        drawn = cells.mapInPandas(draw, f"{kinds}_score double, _y int, replicate bigint, _w bigint")
+        key = [*by, "replicate"]
+        ranked = metrics.ranking(drawn, "_y", "_score", key, weight="_w").filter((F.col("positives") > 0) & (F.col("n") > F.col("positives")))
+        hit = F.col("_score") >= threshold
+        at = drawn.groupBy(*key).agg(*[F.sum(F.when(c, F.col("_w")).otherwise(0)).alias(n) for n, c in (("_tp", hit & (F.col("_y") == 1)), ("_fp", hit & (F.col("_y") == 0)), ("_fn", ~hit & (F.col("_y") == 1)))])
+        one = ranked.join(at, key).select(*key, "average_precision", "roc_auc", safe_div(2 * F.col("_tp"), 2 * F.col("_tp") + F.col("_fp") + F.col("_fn")).alias("f1"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def uniform(*keys: Column, seed: int = 0) -> Column:

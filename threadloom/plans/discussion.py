@@ -29,6 +29,11 @@ def kept(spark: SparkSession, root: str) -> DataFrame:
     return Scratch(spark, "records").keep(recs(spark, root).drop("body", "title"))
 
 
+def claims_marked(spark: SparkSession, root: str) -> DataFrame:
+    """As ``kept``, with a flag of comments that are claims."""
+    return Scratch(spark, "claims").keep(recs(spark, root).withColumn("claim", _is_claim()).drop("body", "title"))
+
+
 def rounded(df: DataFrame) -> DataFrame:
     """Doubles to six places (the order of summation differs between engines)."""
     return df.select(*[(F.round(c, 6) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
@@ -156,7 +161,7 @@ def user_profile(spark, root):
 
 @query("WITH {THREADS}\n>>SELECT * FROM thread", T_D, T_L)
 def thread_profile(spark, root):
-    return profiles.thread_profiles(recs(spark, root))
+    return profiles.thread_profiles(kept(spark, root))
 
 
 @query(
@@ -240,12 +245,12 @@ _R_D, _R_L = "hostility_rate_mean correction_rate author_rate thread_share", "co
 
 @query(_rollup_sql("grp"), _R_D, _R_L)
 def group_rollup(spark, root):
-    return profiles.roll_up(profiles.thread_profiles(recs(spark, root)), "grp")
+    return profiles.roll_up(profiles.thread_profiles(kept(spark, root)), "grp")
 
 
 @query(_rollup_sql("subreddit"), _R_D, _R_L)
 def subreddit_rollup(spark, root):
-    return profiles.roll_up(profiles.thread_profiles(recs(spark, root)), "subreddit")
+    return profiles.roll_up(profiles.thread_profiles(kept(spark, root)), "subreddit")
 
 
 INST = """{USERS}, inst AS MATERIALIZED (
@@ -287,7 +292,7 @@ def cross_group_contrast(spark, root):
     "score_sum score_max score_any later_sum later_max later_any",
 )
 def noisy_or_scores(spark, root):
-    return profiles.noisy_or(recs(spark, root))
+    return profiles.noisy_or(kept(spark, root))
 
 
 @query("WITH {HIST}\n>>SELECT * FROM history", "thread_start prior_rate history_days", "prior_corrections")
@@ -303,7 +308,7 @@ e AS (SELECT *, -list_sum([CASE WHEN x > 0 THEN x / (group_0 + group_1 + group_2
     "group_entropy effective_groups",
 )
 def history_diversity(spark, root):
-    return history.history_diversity(recs(spark, root), GROUPS)
+    return history.history_diversity(kept(spark, root), GROUPS)
 
 
 ENTRY = """{REC}, entry AS (SELECT submission_id, author, min(rank) AS position, min(created_utc) AS entry_time FROM ord WHERE author IS NOT NULL GROUP BY 1, 2),
@@ -313,7 +318,7 @@ ec AS MATERIALIZED (SELECT e.submission_id, e.author, e.position, e.entry_time,
 
 @query(f"WITH {ENTRY}\n>>SELECT * FROM ec", "entry_time seen_score", "seen_corrections seen_hostile")
 def entry_context(spark, root):
-    return history.entry_contexts(recs(spark, root))
+    return history.entry_contexts(kept(spark, root))
 
 
 @query(
@@ -330,7 +335,7 @@ def prior_context(spark, root):
 
 @query("WITH {SPLIT}\n>>SELECT comment_id, submission_id, side, cutoff FROM split", "cutoff")
 def context_split_comments(spark, root):
-    return cohort.context_split(recs(spark, root)).select("comment_id", "submission_id", "side", "cutoff")
+    return cohort.context_split(kept(spark, root)).select("comment_id", "submission_id", "side", "cutoff")
 
 
 @query(
@@ -339,7 +344,7 @@ def context_split_comments(spark, root):
     "cutoff",
 )
 def context_split_hours(spark, root):
-    return cohort.context_split(recs(spark, root), "hours", 24.0).select("comment_id", "submission_id", "side", "cutoff")
+    return cohort.context_split(kept(spark, root), "hours", 24.0).select("comment_id", "submission_id", "side", "cutoff")
 
 
 @query("WITH {SPLIT}\n>>SELECT * FROM feat", F_D)
@@ -375,7 +380,7 @@ o AS (SELECT *, sum(own_early) OVER (PARTITION BY submission_id) - own_early AS
     "others_rate", "own_corrections others_early others_corrections",
 )
 def continuation_cohort(spark, root):
-    return cohort.continuation(recs(spark, root))
+    return cohort.continuation(kept(spark, root))
 
 
 @query(
@@ -385,7 +390,7 @@ def continuation_cohort(spark, root):
     "score_mean score_max score_sd earliness", "corrections",
 )
 def early_variants(spark, root):
-    return cohort.early_variants(recs(spark, root))
+    return cohort.early_variants(kept(spark, root))
 
 
 @query(
@@ -395,7 +400,7 @@ def early_variants(spark, root):
     "hours_to_5 hours_to_10 hours_to_20 duration_hours",
 )
 def window_distribution(spark, root):
-    return cohort.window_distribution(recs(spark, root))
+    return cohort.window_distribution(kept(spark, root))
 
 
 CLAIM_TERMS = ["masks", "boosters", "steam", "magnets", "ventilation", "natural infection"]
@@ -411,7 +416,7 @@ NEAR = f"""{{REC}}, near AS MATERIALIZED (SELECT submission_id, comment_id, last
 
 @query(f"WITH {NEAR}\n>>SELECT * FROM near")
 def nearest_prior_claim(spark, root):
-    return pairs.nearest_prior_claim(recs(spark, root), _is_claim())
+    return pairs.nearest_prior_claim(claims_marked(spark, root), F.col("claim"))
 
 
 @query("WITH {REC}\n>>SELECT r.comment_id, coalesce(p.author, '') AS parent_author, coalesce(p.pred, 0) AS parent_pred, coalesce(p.body, '') AS parent_body FROM rec r LEFT JOIN rec p ON p.comment_id = r.parent_id")
@@ -426,13 +431,13 @@ cp AS (SELECT r.comment_id, CASE WHEN p.comment_id IS NOT NULL THEN r.parent_id
 
 @query(f"WITH {PAIRS}\n>>SELECT source || ':' || claim_id || '->' || comment_id AS pair_id, claim_id, comment_id AS response_id, source, gap FROM cp", "gap")
 def candidate_pairs(spark, root):
-    return pairs.candidate_pairs(recs(spark, root), _is_claim())
+    return pairs.candidate_pairs(claims_marked(spark, root), F.col("claim"))
 
 
 @query(f"WITH {PAIRS}\n>>SELECT source || ':' || claim_id || '->' || comment_id AS pair_id FROM cp WHERE source || ':' || claim_id || '->' || comment_id NOT IN (SELECT lower(trim(pair_id)) FROM candidate_pairs WHERE pair_id IS NOT NULL)")
 def anti_join_excluded(spark, root):
     seen = table(spark, root, "candidate_pairs").select(keys.plain_key(F.col("pair_id")).alias("pair_id")).filter(F.col("pair_id").isNotNull())
-    return pairs.candidate_pairs(recs(spark, root), _is_claim(), seen).select("pair_id")
+    return pairs.candidate_pairs(claims_marked(spark, root), F.col("claim"), seen).select("pair_id")
 
 
 @query(
@@ -617,28 +622,28 @@ _DESC = "count({0}) AS n, avg({0}) AS mean, stddev_samp({0}) AS sd, min({0})::DO
 
 @query("WITH {THREADS}\n>>" + " UNION ALL ".join(f"SELECT '{c}' AS variable, {_DESC.format(c)} FROM thread" for c in ("comments", "authors", "hostility_rate")), "mean sd min q1 median q3 max")
 def descriptives(spark, root):
-    return metrics.describe(profiles.thread_profiles(recs(spark, root)), ["comments", "authors", "hostility_rate"])
+    return metrics.describe(profiles.thread_profiles(kept(spark, root)), ["comments", "authors", "hostility_rate"])
 
 
 @query("WITH {THREADS}\n>>SELECT 'comments' AS a, 'authors' AS b, corr(comments, authors) AS r FROM thread UNION ALL SELECT 'comments', 'max_score', corr(comments, max_score) FROM thread UNION ALL SELECT 'authors', 'max_score', corr(authors, max_score) FROM thread", "r")
 def correlation_matrix(spark, root):
-    return metrics.correlations(profiles.thread_profiles(recs(spark, root)), ["comments", "authors", "max_score"])
+    return metrics.correlations(profiles.thread_profiles(kept(spark, root)), ["comments", "authors", "max_score"])
 
 
 @query("WITH {THREADS}\n>>SELECT submission_id, (comments - (SELECT avg(comments) FROM thread)) / (SELECT stddev_pop(comments) FROM thread) AS comments_z, (max_score - (SELECT avg(max_score) FROM thread)) / (SELECT stddev_pop(max_score) FROM thread) AS max_score_z FROM thread", "comments_z max_score_z")
 def standardize(spark, root):
-    return metrics.standardise(profiles.thread_profiles(recs(spark, root)), ["comments", "max_score"]).select("submission_id", "comments_z", "max_score_z")
+    return metrics.standardise(profiles.thread_profiles(kept(spark, root)), ["comments", "max_score"]).select("submission_id", "comments_z", "max_score_z")
 
 
 @query("WITH {THREADS}, p AS (SELECT subreddit AS term, 1 / (1 + sum(corrections)) AS p FROM thread GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY p, term) AS k, count(*) OVER () AS n FROM p)\n>>SELECT term, p, least(min(p * n / k) OVER (ORDER BY k DESC), 1) AS q FROM r", "p q")
 def bh_adjust(spark, root):
-    t = profiles.thread_profiles(recs(spark, root)).groupBy(F.col("subreddit").alias("term")).agg((1 / (1 + F.sum("corrections"))).alias("p"))
+    t = profiles.thread_profiles(kept(spark, root)).groupBy(F.col("subreddit").alias("term")).agg((1 / (1 + F.sum("corrections"))).alias("p"))
     return metrics.benjamini_hochberg(t)
 
 
 @query("WITH {THREADS}\n>>SELECT submission_id, authors, comments FROM thread WHERE corrections = 0 ORDER BY authors DESC, comments DESC, submission_id LIMIT 50")
 def topk_threads(spark, root):
-    t = profiles.thread_profiles(recs(spark, root)).filter(F.col("corrections") == 0)
+    t = profiles.thread_profiles(kept(spark, root)).filter(F.col("corrections") == 0)
     return t.orderBy(F.desc("authors"), F.desc("comments"), "submission_id").limit(50).select("submission_id", "authors", "comments")
 
 

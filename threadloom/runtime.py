@@ -15,6 +15,8 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 TASK_BYTES = 64 * 1024 * 1024
 #: A key with more than this share of the rows is hot, so there are at most 1 / HOT_SHARE of them.
 HOT_SHARE = 0.005
+#: The same for keys whose rows a window would hold together, which adaptive execution can't split.
+WINDOW_SHARE = 0.0005
 #: Rows of the sample in which hot keys are looked for, and slices that a hot key's rows are cut into.
 HOT_SAMPLE, HOT_SLICES = 200_000, 64
 
@@ -108,15 +110,15 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
 
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, least_bytes: int = TASK_BYTES) -> list:
+def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, least_bytes: int | None = None) -> list:
     """Values of ``key`` that more than ``share`` of the rows have; at most 2 / share of them.
 
     They are looked for in a sample of about ``HOT_SAMPLE`` rows: what is found
     decides how rows travel and never what comes out. A table of at most
-    ``least_bytes`` has none worth splitting. ``df`` should be a written table,
+    ``least_bytes`` (``TASK_BYTES``) has none worth splitting. ``df`` should be a written table,
     as it is read here.
     """
-    if estimated_bytes(df) <= least_bytes:
+    if estimated_bytes(df) <= (TASK_BYTES if least_bytes is None else least_bytes):
         return []
     rows = df.select(key).filter(F.col(key).isNotNull())
     total = rows.count()
@@ -139,27 +141,28 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, hot: list, how: str =
     return left.filter(is_hot).join(few, key, how).unionByName(left.filter(~is_hot).join(right, key, how))
 
 
-def cut_hot(df: DataFrame, key: str, order: list[str], share: float = HOT_SHARE, least_bytes: int = TASK_BYTES) -> tuple[DataFrame, bool]:
+def cut_hot(df: DataFrame, key: str, order: list[str], source: DataFrame | None = None, share: float = WINDOW_SHARE, least_bytes: int | None = None) -> tuple[DataFrame, bool]:
     """Adds ``_slice``: consecutive stretches of the rows of a key by ``order``, several for hot keys, and whether there are any.
 
     A window by (key, _slice) then holds a bounded share of the rows, whatever
     times they have. The bounds of the slices are quantiles of a hot key's rows in a sample
-    of bounded size, at most ``HOT_SLICES`` a key; they move no result.
+    of bounded size, at most ``HOT_SLICES`` a key; they move no result. ``source``:
+    a written table with the same columns that hot keys and bounds are taken from, if ``df`` is none.
     """
-    hot = hot_keys(df, key, share, least_bytes)
+    source = (df if source is None else source).select(key, *order)
+    hot = hot_keys(source, key, share, least_bytes)
     if not hot:
         return df.withColumn("_slice", F.lit(0)), False
-    rows = df.filter(F.col(key).isin(hot)).select(key, *order)
+    spark = df.sparkSession
+    names = spark.createDataFrame([(h,) for h in hot], source.select(key).schema)
+    rows = source.join(F.broadcast(names), key, "left_semi")  # at most 2 / share rows
     f = min(1.0, HOT_SAMPLE / max(rows.count(), 1))
     part = rows if f >= 1.0 else rows.sample(withReplacement=False, fraction=f, seed=19)
     # A sample of about HOT_SAMPLE rows: the lists together are no longer than that.
     lists = part.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order))).alias("_all"))
     step = F.greatest(F.lit(1), F.floor(F.size("_all") / HOT_SLICES)).cast("int")
-    cuts = lists.select(key, F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("_all") - 1), step), lambda i: F.get("_all", i)).alias("_cuts")).collect()
-    kind = df.select(F.array(F.struct(*order)).alias("_cuts")).schema["_cuts"].dataType
-    from pyspark.sql import types as T
-
-    bounds = df.sparkSession.createDataFrame([(r[key], r["_cuts"]) for r in cuts], T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("_cuts", kind)]))
+    cuts = lists.select(key, F.transform(F.sequence(F.lit(0), F.size("_all") - 1, step), lambda i: F.get("_all", i)).alias("_cuts"))
+    bounds = spark.createDataFrame(cuts.collect(), cuts.schema)
     at = df.join(F.broadcast(bounds), key, "left")  # one row a hot key
     mine = F.struct(*order)
     return at.withColumn("_slice", F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: c <= mine)))).drop("_cuts"), True
