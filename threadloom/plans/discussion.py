@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions import keys, lexicon, text
-from threadloom.operators import cohort, history, metrics, pairs, profiles, sampling, sets
+from threadloom.operators import cohort, history, metrics, pairs, profiles, relations, sampling, sets
 from threadloom.operators.records import comment_records, in_order, records
 from threadloom.runtime import Scratch
 from threadloom.sources.tables import table
@@ -650,3 +650,197 @@ def topk_threads(spark, root):
 @query("WITH {REC}\n>>SELECT count(*) AS comments, count(DISTINCT submission_id) AS threads, count(DISTINCT author) AS authors, sum(pred) AS corrections, sum(candidate) AS candidates, min(created_utc) AS first, max(created_utc) AS last FROM rec", "first last", "corrections candidates")
 def global_summary(spark, root):
     return recs(spark, root).agg(F.count(F.lit(1)).alias("comments"), F.count_distinct("submission_id").alias("threads"), F.count_distinct("author").alias("authors"), F.sum("pred").alias("corrections"), F.sum("candidate").alias("candidates"), F.min("created_utc").alias("first"), F.max("created_utc").alias("last"))
+
+
+# Relations of the opening, and the analysis frame.
+def rel_kept(spark: SparkSession, root: str) -> DataFrame:
+    """The records with relation vectors, without texts, written once."""
+    return Scratch(spark, "relations").keep(relations.with_relations(recs(spark, root)).drop("body", "title"))
+
+
+_CUES = {
+    "denial": "candidate = 1", "evidence": r"regexp_matches(body, '\d+(\.\d+)?\s?%|\b\d{{2,}}\b')", "quotation": "starts_with(body, '>') OR contains(body, chr(10) || '>')", "elaboration": "words >= 50", "question": "contains(body, '?')",
+    "institutions": "anti = 1", "hostility": "hostile = 1",
+}
+_T = relations.TYPES
+_ON = ", ".join(f"coalesce(({c})::INT, 0) AS on_{n}" for n, c in _CUES.items())
+_N = " + ".join(f"on_{n}" for n in _CUES)
+_REL = ", ".join(f"s * {'(n = 0)::INT' if t == 'other' else 'on_' + t} / greatest(n, 1) AS rel_{t}" for t in _T)
+REL = f""",
+cue AS (SELECT comment_id AS cid, least(greatest(coalesce(score, 0), 0), 1) AS s, (pair_count > 0)::INT AS rel_available, {_ON} FROM rec),
+rel AS MATERIALIZED (SELECT cid, rel_available, {_REL}, 1 - s AS rel_none FROM (SELECT *, {_N} AS n FROM cue))"""
+
+
+def _h(v: str) -> str:
+    return f"(-coalesce(list_sum([p * ln(p) FOR p IN {v} IF p > 0]), 0))"
+
+
+def _hn(v: str, k: int) -> str:
+    return f"(CASE WHEN list_sum({v}) > 0 THEN -list_sum([p / list_sum({v}) * ln(p / list_sum({v})) FOR p IN {v} IF p > 0]) / ln({k}) ELSE 0 END)"
+
+
+_MEANS = ", ".join(f"avg(rel_{t}) AS early_mean_{t}" for t in (*_T, "none"))
+_M9 = "[" + ", ".join(f"early_mean_{t}" for t in (*_T, "none")) + "]"
+ERL = f"""{REL},
+erl AS MATERIALIZED (SELECT submission_id, {_h(_M9)} / ln(9) AS early_relation_diversity, early_relation_coverage, early_additional FROM (
+  SELECT submission_id, {_MEANS}, avg(rel_available) AS early_relation_coverage, greatest(sum(pred) - 1, 0)::BIGINT AS early_additional FROM split JOIN rel ON cid = comment_id WHERE side = 'early' GROUP BY 1))"""
+
+
+@query("WITH {SPLIT}" + ERL + "\n>>SELECT * FROM erl", "early_relation_diversity early_relation_coverage")
+def early_relations(spark, root):
+    return relations.early_relations(cohort.context_split(rel_kept(spark, root)))
+
+
+_V9 = "[" + ", ".join(f"rel_{t}" for t in (*_T, "none")) + "]"
+_V8 = "[" + ", ".join(f"rel_{t}" for t in _T) + "]"
+_VARIANT_D = "correction_earliness score_of_ten max_score mean_candidates soft_diversity soft_renormalised hard_diversity relation_only_diversity corrective_diversity other_diversity " + " ".join(f"early_mean_{t}" for t in _T)
+
+
+@query(
+    f"""WITH {{REC}}{REL},
+h AS (SELECT ord.submission_id, ord.pred, ord.score, ord.rank, ord.pair_count, rel.*, list_position({_V9}, list_max({_V9})) AS hard, CASE WHEN rel_available = 1 THEN list_position({_V8}, list_max({_V8})) END AS own FROM ord JOIN rel ON cid = comment_id WHERE rank <= 10),
+g AS (SELECT submission_id, {_MEANS}, [{', '.join(f"coalesce(avg(rel_{t}) FILTER (rel_available = 1), 0)" for t in _T)}] AS alone, [{', '.join(f"count(*) FILTER (hard = {k + 1})" for k in range(9))}] AS counts, count(DISTINCT own) AS relation_only_richness, count(DISTINCT hard) AS hard_richness,
+  sum(pred)::BIGINT AS corrections, greatest(sum(pred) - 1, 0)::BIGINT AS additional_corrections, coalesce(min(rank) FILTER (pred = 1), 0)::BIGINT AS first_position, (10 - min(rank) FILTER (pred = 1)) / 9 AS correction_earliness, sum(score) AS score_of_ten, max(score) AS max_score, avg(pair_count) AS mean_candidates
+  FROM h GROUP BY 1 HAVING count(*) = 10)
+>>SELECT * EXCLUDE (alone, counts, early_mean_none), {_h(_M9)} / ln(9) AS soft_diversity, {_hn(_M9, 9)} AS soft_renormalised, {_hn('counts', 9)} AS hard_diversity, {_hn('alone', 8)} AS relation_only_diversity,
+ {_hn('[' + ', '.join(f'early_mean_{t}' for t in _T[:5]) + ']', 5)} AS corrective_diversity, {_hn('[' + ', '.join(f'early_mean_{t}' for t in _T[5:]) + ']', 3)} AS other_diversity FROM g""",
+    _VARIANT_D,
+)
+def early_relation_variants(spark, root):
+    """The mean score comes out as the sum of the ten: means of ten six-digit scores lie on the edge of rounding."""
+    v = relations.early_relation_variants(rel_kept(spark, root))
+    return v.withColumn("score_of_ten", F.col("mean_score") * 10).drop("mean_score")
+
+
+_Z = ", ".join(f"coalesce(({c} - avg({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0), 0) AS {c}_z" for c in relations.STANDARDISED)
+COHORT = """, coh AS (SELECT e.submission_id, e.author, e.comment_id, e.subreddit, e.grp, e.pred AS response, e.score AS response_score, e.pair_count AS response_pairs, e.words AS response_words, (e.created_utc - e.thread_start) / 3600.0 AS delay_hours,
+  h.* EXCLUDE (submission_id, author, thread_start), f.* EXCLUDE (submission_id) FROM ent e JOIN history h USING (submission_id, author) JOIN feat f ON f.submission_id = e.submission_id WHERE h.prior_comments >= 2 AND h.history_days >= 7)"""
+
+
+@query(
+    "WITH {SPLIT}" + ERL + COHORT + f""",
+a AS (SELECT coh.*, erl.* EXCLUDE (submission_id), ln(1 + prior_comments) AS log_prior, ln(1 + delay_hours) AS log_delay, ln(1 + response_words) AS log_words, least(prior_groups, 3)::BIGINT AS prior_groups_capped, least(prior_subreddits, 4)::BIGINT AS prior_subreddits_capped,
+  CASE WHEN prior_cross_group = 1 THEN 'across_groups' WHEN prior_cross_subreddit = 1 THEN 'across_subreddits' ELSE 'one_subreddit' END AS access_pattern, CASE WHEN prior_comments < 2 THEN 'limited prior record' WHEN prior_cross_subreddit = 1 THEN 'multiple prior subreddits' ELSE 'one prior subreddit' END AS participation,
+  CASE WHEN early_ambient_hostility + early_directed_rate > 0 THEN 'any hostile language' ELSE 'no hostile language' END AS hostile_opening FROM coh JOIN erl USING (submission_id))
+>>SELECT *, {_Z} FROM a""",
+    "response_score delay_hours prior_rate history_days early_relation_diversity early_relation_coverage log_prior log_delay log_words " + F_D + " " + " ".join(f"{c}_z" for c in relations.STANDARDISED), "prior_corrections",
+)
+def analysis_frame(spark, root):
+    """The first-response cohort with every covariate of the models."""
+    r = rel_kept(spark, root)
+    return relations.analysis_frame(cohort.cohort(r), relations.early_relations(cohort.context_split(r)))
+
+
+# Samples with caps, fills, flags and reasons.
+def pair_rows(spark: SparkSession, root: str) -> DataFrame:
+    """Candidate pairs, one row an id (the greatest of each column), written once."""
+    p = table(spark, root, "candidate_pairs")
+    cols = {
+        "response_id": keys.plain_id(F.col("response_id")), "submission_id": keys.plain_id(F.col("submission_id")), "component": F.col("sample_component"), "pair_source": F.col("pair_source"), "body": F.col("response_body"), "score": F.coalesce("public_correction_score", F.lit(0.0)),
+        "cue": F.coalesce("response_has_correction_cue", F.lit(0)), "claim_cue": F.coalesce("claim_has_misinfo_cue", F.lit(0)), "sarcasm": F.coalesce("response_has_sarcasm", F.lit(0)), "quote": F.coalesce("response_has_quote", F.lit(0)),
+    }
+    one = p.select(keys.plain_id(F.col("pair_id")).alias("pair_id"), *[c.alias(n) for n, c in cols.items()]).filter(F.col("pair_id").isNotNull()).groupBy("pair_id").agg(*[F.max(n).alias(n) for n in cols])
+    return Scratch(spark, "pairs").keep(one.withColumn("tie", sampling.shuffle_key("pair_id", 7)))
+
+
+PP = f"""pp AS MATERIALIZED (SELECT pair_id, response_id, submission_id, component, pair_source, body, score, cue, claim_cue, sarcasm, quote, md5(pair_id || ':7') AS tie FROM (
+  SELECT {_id('pair_id')} AS pair_id, max({_id('response_id')}) AS response_id, max({_id('submission_id')}) AS submission_id, max(sample_component) AS component, max(pair_source) AS pair_source, max(response_body) AS body, max(coalesce(public_correction_score, 0)) AS score,
+   max(coalesce(response_has_correction_cue, 0)) AS cue, max(coalesce(claim_has_misinfo_cue, 0)) AS claim_cue, max(coalesce(response_has_sarcasm, 0)) AS sarcasm, max(coalesce(response_has_quote, 0)) AS quote FROM candidate_pairs GROUP BY 1) WHERE pair_id IS NOT NULL)"""
+QUOTAS = "cue_pairs=30,hard_negative=20"
+_ORDER = "claim_cue DESC, cue DESC, score DESC, pair_source, tie"
+
+
+def _accept(name: str, pool: str, used: str, label: str, quota: int) -> str:
+    """SQL of one component: the cap of a response, then that of its thread, then the quota, less what ``used`` holds."""
+    return f"""{name}a AS (SELECT * FROM (SELECT p.*, row_number() OVER (PARTITION BY coalesce(response_id, '') ORDER BY {_ORDER}) + (SELECT count(*) FROM {used} u WHERE coalesce(u.response_id, '') = coalesce(p.response_id, '')) AS k FROM pp p WHERE {pool} AND pair_id NOT IN (SELECT pair_id FROM {used})) WHERE k <= 2),
+{name}b AS (SELECT * FROM (SELECT a.* EXCLUDE (k), row_number() OVER (PARTITION BY coalesce(submission_id, '') ORDER BY {_ORDER}) + (SELECT count(*) FROM {used} u WHERE coalesce(u.submission_id, '') = coalesce(a.submission_id, '')) AS k FROM {name}a a) WHERE k <= 3),
+{name}c AS (SELECT pair_id, response_id, submission_id, '{label}' AS taken_as, row_number() OVER (ORDER BY {_ORDER}) AS place FROM {name}b ORDER BY {_ORDER} LIMIT {quota}),
+{name} AS MATERIALIZED (SELECT * FROM {used} UNION ALL SELECT * FROM {name}c)"""
+
+
+@query(
+    "WITH " + PP.replace("{", "{{").replace("}", "}}") + ", s0 AS (SELECT pair_id, response_id, submission_id, '' AS taken_as, 0::BIGINT AS place FROM pp WHERE false), " + _accept("s1", "component = 'cue_pairs'", "s0", "cue_pairs", 30) + ", "
+    + _accept("s2", "component = 'hard_negative'", "s1", "hard_negative", 20) + ", " + _accept("s3", "true", "s2", "fill", 40)
+    + """, n AS (SELECT pair_id, taken_as, row_number() OVER (ORDER BY CASE taken_as WHEN 'cue_pairs' THEN 0 WHEN 'hard_negative' THEN 1 ELSE 2 END, place) AS k FROM s3)
+>>SELECT 'RPS' || lpad(k::VARCHAR, 5, '0') AS annotation_id, pair_id, taken_as, '' AS is_correction_relation, '' AS relation_type FROM n WHERE k <= (SELECT greatest(90, count(*) FILTER (taken_as <> 'fill')) FROM n)"""
+)
+def pair_sample(spark, root):
+    """Ordered components under two caps, filled to 90, with ids and blank fields to fill in."""
+    order = [F.desc("claim_cue"), F.desc("cue"), F.desc("score"), F.asc("pair_source"), F.asc("tie")]
+    pools = {n: (F.col("component") == n, q) for n, q in sampling.parse_quotas(QUOTAS).items()}
+    taken = sampling.greedy(pair_rows(spark, root), pools, "pair_id", {"response_id": 2, "submission_id": 3}, order, 90)
+    return sampling.annotation_sheet(taken, "RPS", ["is_correction_relation", "relation_type"]).select("annotation_id", "pair_id", "taken_as", "is_correction_relation", "relation_type")
+
+
+_STRATUM = "CASE WHEN score >= 0 AND score < 0.25 THEN 'low' WHEN score >= 0.25 AND score < 0.5 THEN 'mid' WHEN score >= 0.5 AND score <= 1.0000001 THEN 'high' ELSE 'unknown' END"
+
+
+@query(
+    "WITH " + PP.replace("{", "{{").replace("}", "}}") + f""", r AS (SELECT *, row_number() OVER (PARTITION BY pair_source, {_STRATUM} ORDER BY tie, pair_id) AS k FROM pp)
+>>SELECT pair_id, CASE WHEN k > 12 THEN 'fill' ELSE 'stratum' END AS phase FROM r ORDER BY (k > 12)::INT, CASE WHEN k > 12 THEN abs(score - 0.5) ELSE 0 END, tie, pair_id LIMIT 100"""
+)
+def uncertainty_sample(spark, root):
+    """12 a stratum of source and score bin, then the most uncertain ones up to 100."""
+    p = pair_rows(spark, root).withColumn("bin", text.score_bin(F.col("score"), [0.0, 0.25, 0.5, 1.0], ["low", "mid", "high"]))
+    return sampling.stratified_fill(p, ["pair_source", "bin"], "pair_id", 12, 100, "score", 7).select("pair_id", "phase")
+
+
+@query(
+    "WITH " + PP.replace("{", "{{").replace("}", "}}") + f""", r AS (SELECT *, row_number() OVER (PARTITION BY cue, pair_source, {_STRATUM} ORDER BY tie, pair_id) AS k FROM pp),
+a AS (SELECT pair_id, cue, 'stratum' AS phase, row_number() OVER (PARTITION BY cue ORDER BY tie, pair_id) AS n FROM r WHERE k <= 8), a1 AS MATERIALIZED (SELECT * FROM a WHERE n <= CASE cue WHEN 1 THEN 36 ELSE 24 END),
+b AS (SELECT pair_id, cue, 'flag' AS phase, row_number() OVER (PARTITION BY cue ORDER BY tie, pair_id) + (SELECT count(*) FROM a1 WHERE a1.cue = r.cue) AS n FROM r WHERE pair_id NOT IN (SELECT pair_id FROM a1)), b1 AS MATERIALIZED (SELECT * FROM a1 UNION ALL SELECT * FROM b WHERE n <= CASE cue WHEN 1 THEN 36 ELSE 24 END),
+c AS (SELECT pair_id, 'fill' AS phase, row_number() OVER (ORDER BY tie, pair_id) + (SELECT count(*) FROM b1) AS n FROM r WHERE pair_id NOT IN (SELECT pair_id FROM b1))
+>>SELECT pair_id, phase FROM b1 UNION ALL SELECT pair_id, phase FROM c WHERE n <= 60"""
+)
+def flag_balanced_sample(spark, root):
+    """36 pairs with the cue and 24 without, at most 8 a stratum at first, filled within the flag and then from all."""
+    p = pair_rows(spark, root).withColumn("bin", text.score_bin(F.col("score"), [0.0, 0.25, 0.5, 1.0], ["low", "mid", "high"]))
+    return sampling.flag_balanced(p, "cue", {1: 36, 0: 24}, ["pair_source", "bin"], 8, "pair_id", "tie", 60).select("pair_id", "phase")
+
+
+@query(
+    "WITH " + PP.replace("{", "{{").replace("}", "}}") + """, a AS (SELECT pair_id, 'low_score_cue' AS component FROM pp WHERE cue = 1 AND score < 0.4 ORDER BY score, tie LIMIT 20),
+b AS (SELECT pair_id, 'near_threshold' AS component FROM pp WHERE pair_id NOT IN (SELECT pair_id FROM a) ORDER BY abs(score - 0.5), tie LIMIT 20), ab AS MATERIALIZED (SELECT * FROM a UNION ALL SELECT * FROM b),
+c AS (SELECT pair_id, 'random_calibration' AS component FROM pp WHERE pair_id NOT IN (SELECT pair_id FROM ab) ORDER BY tie LIMIT 15), abc AS MATERIALIZED (SELECT * FROM ab UNION ALL SELECT * FROM c),
+d AS (SELECT pair_id, 'fallback_high_score' AS component FROM pp WHERE pair_id NOT IN (SELECT pair_id FROM abc) ORDER BY score DESC, tie LIMIT greatest(0, 70 - (SELECT count(*) FROM abc)))
+>>SELECT * FROM abc UNION ALL SELECT * FROM d"""
+)
+def hard_negative_sample(spark, root):
+    """Ordered components without caps, each in its own order, first come first served, then the best scores up to 70."""
+    pools = {
+        "low_score_cue": ((F.col("cue") == 1) & (F.col("score") < 0.4), 20, [F.asc("score"), F.asc("tie")]),
+        "near_threshold": (F.lit(True), 20, [F.abs(F.col("score") - 0.5).asc(), F.asc("tie")]),
+        "random_calibration": (F.lit(True), 15, [F.asc("tie")]),
+    }
+    return sampling.components(pair_rows(spark, root), pools, "pair_id", 70, ("fallback_high_score", [F.desc("score"), F.asc("tie")])).select("pair_id", "component")
+
+
+_SHORT = "len(trim(coalesce(body, ''))) < 80"
+
+
+@query(
+    "WITH " + PP.replace("{", "{{").replace("}", "}}") + f""", t AS (SELECT pair_id, list_filter([CASE WHEN score >= 0.5 AND cue = 0 THEN 'high_score_without_cue' END, CASE WHEN score <= 0.2 AND (cue = 1 OR {_SHORT}) THEN 'low_score_in_context' END, CASE WHEN quote = 1 OR sarcasm = 1 THEN 'quote_or_sarcasm' END,
+ CASE WHEN {_SHORT} THEN 'short' END, CASE WHEN abs(score - 0.5) <= 0.05 THEN 'near_threshold' END], lambda x: x IS NOT NULL) AS r FROM pp)
+>>SELECT pair_id, r[1] AS primary_reason, array_to_string(r, '|') AS reasons, len(r)::INT AS n_reasons FROM t WHERE len(r) > 0"""
+)
+def reason_tags(spark, root):
+    """Every reason to look at a pair again, the first being its primary one."""
+    short = F.length(F.trim(F.coalesce("body", F.lit("")))) < 80
+    why = {
+        "high_score_without_cue": (F.col("score") >= 0.5) & (F.col("cue") == 0), "low_score_in_context": (F.col("score") <= 0.2) & ((F.col("cue") == 1) | short), "quote_or_sarcasm": (F.col("quote") == 1) | (F.col("sarcasm") == 1), "short": short,
+        "near_threshold": F.abs(F.col("score") - 0.5) <= 0.05,
+    }
+    return sampling.tagged(pair_rows(spark, root), why).select("pair_id", "primary_reason", "reasons", "n_reasons")
+
+
+@query(
+    "WITH " + PP.replace("{", "{{").replace("}", "}}") + f""", e AS (SELECT pair_id, (score + cue + claim_cue) / 3 AS ensemble_score, {_terms('body', lexicon.ANTI_INSTITUTIONAL)}::INT AS institutions_like, {_terms('body', lexicon.HOSTILITY)}::INT AS hostile_like,
+ coalesce(regexp_matches(body, '\\d+(\\.\\d+)?\\s?%|\\b\\d{{{{2,}}}}\\b')::INT, 0) AS numeric_like, (len(trim(coalesce(body, ''))) >= 80)::INT AS long_enough FROM pp)
+>>SELECT *, institutions_like + hostile_like + numeric_like + long_enough AS priority FROM e""",
+    "ensemble_score",
+)
+def row_enrichment(spark, root):
+    """Lexicon and surface flags, the mean of several scores and an additive priority."""
+    p, b = pair_rows(spark, root), F.col("body")
+    flags = {"institutions_like": lexicon.has_term(b, lexicon.ANTI_INSTITUTIONAL), "hostile_like": lexicon.has_term(b, lexicon.HOSTILITY), "numeric_like": text.has_number(b), "long_enough": (F.length(F.trim(F.coalesce(b, F.lit("")))) >= 80).cast("int")}
+    return sampling.enriched(p, ["score", "cue", "claim_cue"], flags).select("pair_id", "ensemble_score", *flags, "priority")
