@@ -62,10 +62,10 @@ def first_responses(split: DataFrame) -> DataFrame:
     return one.select("submission_id", "author", "_r.*")
 
 
-def cohort(recs: DataFrame, window: str = "comments", value: float = EARLY, horizon_days: float = 7.0, min_prior: int = 2, min_days: float = 7.0) -> DataFrame:
-    """The analysis frame: first responses of later entrants with early context and own history."""
+def cohort(recs: DataFrame, window: str = "comments", value: float = EARLY, horizon_days: float = 7.0, min_prior: int = 2, min_days: float = 7.0, history: DataFrame | None = None) -> DataFrame:
+    """The analysis frame: first responses of later entrants with early context and own history (``history``: of the same records, written before)."""
     scratch = Scratch(recs.sparkSession, "cohort")
-    history = scratch.keep(pair_history(recs))
+    history = scratch.keep(pair_history(recs)) if history is None else history
     split = scratch.keep(context_split(recs, window, value, horizon_days))
     first = first_responses(split).select(
         "submission_id", "author", "comment_id", "subreddit", "grp", F.col("pred").alias("response"), F.col("score").alias("response_score"), F.col("pair_count").alias("response_pairs"), F.col("words").alias("response_words"),

@@ -113,3 +113,36 @@ def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
     m = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in columns], *[sd(c).alias(f"_s_{c}") for c in columns])
     z = df.join(F.broadcast(m))  # one row
     return z.select(*df.columns, *[((F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).alias(f"{c}_z") for c in columns])
+
+
+def compare(df: DataFrame, scores: dict[str, Column], threshold: float = 0.5, y: str = "y") -> DataFrame:
+    """Per model (name -> score): threshold metrics, average precision and ROC AUC on the same rows."""
+    long = df.select(F.col(y).alias("_y"), F.explode(F.array(*[F.struct(F.lit(n).alias("model"), c.cast("double").alias("_score")) for n, c in scores.items()])).alias("_m")).select("_y", "_m.*").filter(F.col("_score").isNotNull())
+    return threshold_metrics(long, threshold, "_y", "_score", ["model"]).join(ranking(long, "_y", "_score", ["model"]).select("model", "average_precision", "roc_auc"), "model")
+
+
+def class_metrics(df: DataFrame, y: str, predicted: str) -> DataFrame:
+    """Per class: true and predicted rows, hits (right ones), precision, recall; and the accuracy over all in every row."""
+    classes = df.filter(F.col(y).isNotNull() & F.col(predicted).isNotNull()).select(F.explode(F.array(F.struct(F.col(y).alias("label"), F.lit(1).alias("t"), F.lit(0).alias("p"), (F.col(y) == F.col(predicted)).cast("int").alias("b")), F.struct(F.col(predicted).alias("label"), F.lit(0).alias("t"), F.lit(1).alias("p"), F.lit(0).alias("b")))).alias("_x")).select("_x.*")
+    g = classes.groupBy("label").agg(F.sum("t").alias("rows"), F.sum("p").alias("predicted"), F.sum("b").alias("hits"))
+    all_ = Window.partitionBy()  # one row a class
+    return g.withColumns({"precision": safe_div(F.col("hits"), F.col("predicted")), "recall": safe_div(F.col("hits"), F.col("rows")), "accuracy": safe_div(F.sum("hits").over(all_), F.sum("rows").over(all_))})
+
+
+def recalibration(df: DataFrame, y: str = "y", score: str = "score") -> dict[str, float]:
+    """intercept and slope of a logit of the outcome on the score's log odds (scores kept off 0 and 1 by 1e-6)."""
+    from threadloom.operators import estimation
+
+    p = F.least(F.greatest(F.col(score), F.lit(1e-6)), F.lit(1 - 1e-6))
+    fit = estimation.fit_logit(df.select(F.col(y).alias("_y"), F.ln(p / (1 - p)).alias("log_odds")), estimation.Design(["log_odds"]), "_y")
+    return {"intercept": float(fit.beta[0]), "slope": float(fit.beta[1]), "converged": fit.converged}
+
+
+def quartile_names(df: DataFrame, column: str, names: tuple[str, ...] = ("shortest", "short", "long", "longest")) -> Column:
+    """The quarter of the rows that a value lies in: right-closed between exact linear quantiles; equal bounds make one quarter."""
+    cut = df.agg(*[F.percentile(column, k / len(names)).alias(f"q{k}") for k in range(1, len(names))]).first()
+    bounds = sorted({cut[f"q{k}"] for k in range(1, len(names)) if cut[f"q{k}"] is not None})
+    case = None
+    for name, b in zip(names, bounds):
+        case = (F.when if case is None else case.when)(F.col(column) <= b, name)
+    return F.when(F.col(column).isNull(), None).otherwise(F.lit(names[0]) if case is None else case.otherwise(names[len(bounds)]))

@@ -6,15 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import safe_div
 from threadloom.operators import metrics
-from threadloom.runtime import Scratch
+from threadloom.operators.estimation import Design, nearest_psd
+from threadloom.operators.history import before
+from threadloom.runtime import Scratch, broadcast_if_small
 
 #: Replicates drawn in one pass over the rows.
-AT_ONCE = 50
+AT_ONCE = 500
 
 
 def bootstrap(df: DataFrame, replicates: int = 200, seed: int = 1, threshold: float = 0.5, y: str = "y", score: str = "score", by: list[str] | None = None) -> DataFrame:
@@ -60,19 +62,53 @@ def uniform(*keys: Column, seed: int = 0) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*keys, F.lit(seed)), 11).cast("double") / float(1 << 53)
 
 
-def bernoulli_runs(instances: DataFrame, scenarios: dict[str, Column], runs: int, seed: int = 20260701) -> DataFrame:
-    """Per scenario and run: correcting instances, their rate, and threads with any.
+def bernoulli_runs(instances: DataFrame, scenarios: dict[str, Column], runs: int, seed: int = 20260701, top: int = 10) -> DataFrame:
+    """Per scenario and run: correcting instances, their rate, active threads, shares of cross-group and high-audience ones, share of the ``top`` threads.
 
-    Instances (submission_id, author, ...) draw one uniform number a run, the same in
-    every scenario, so scenarios differ by their probabilities alone.
+    Instances (submission_id, author[, cross_group, high_audience], ...) draw one
+    uniform number a run, the same in every scenario, so scenarios differ by their
+    probabilities alone. Rows of a partition are summed per thread in arrays
+    over the runs before anything is shuffled: a thread sends at most one row per
+    scenario, partition and run in which anything of it corrects.
     """
-    u = instances.select("submission_id", *[F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)).alias(f"_p{k}") for k, c in enumerate(scenarios.values())], F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run"), F.xxhash64("submission_id", "author").alias("_key"))
-    u = u.withColumn("_u", uniform(F.col("_key"), F.col("run"), seed=seed))
-    # One row per thread and run first: a thread's instances are combined within map tasks.
-    t = u.groupBy("submission_id", "run").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("_u") < F.col(f"_p{k}")).alias(f"_c{k}") for k in range(len(scenarios))])
-    long = t.select("run", "n", F.explode(F.array(*[F.struct(F.lit(name).alias("scenario"), F.col(f"_c{k}").alias("c")) for k, name in enumerate(scenarios)])).alias("_x")).select("run", "n", "_x.*")
-    g = long.groupBy("scenario", "run").agg(F.sum("n").alias("instances"), F.sum("c").alias("correcting"), F.count(F.lit(1)).alias("threads"), F.count_if(F.col("c") > 0).alias("active_threads"))
-    return g.withColumns({"rate": safe_div(F.col("correcting"), F.col("instances")), "activation": safe_div(F.col("active_threads"), F.col("threads"))})
+    names = list(scenarios)
+    flag = lambda c: (F.coalesce(F.col(c).cast("int"), F.lit(0)) if c in instances.columns else F.lit(0)).alias(c)
+    rows = instances.select("submission_id", F.xxhash64("submission_id", "author").alias("key"), flag("cross_group"), flag("high_audience"), *[F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)).alias(f"p{k}") for k, c in enumerate(scenarios.values())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for lo in range(0, len(pdf), 4096):
+                part = pdf.iloc[lo : lo + 4096]
+                threads, code = np.unique(part["submission_id"].to_numpy(str), return_inverse=True)
+                u = uniforms(part["key"].to_numpy(np.int64), runs, seed)
+                cross, high = part["cross_group"].to_numpy(), part["high_audience"].to_numpy()
+                for k, name in enumerate(names):
+                    hit = u < part[f"p{k}"].to_numpy()[:, None]
+                    sums = [np.zeros((len(threads), runs), np.int64) for _ in range(3)]
+                    for total, weight in zip(sums, (np.ones(len(part), int), cross, high)):
+                        np.add.at(total, code, hit * weight[:, None])
+                    t, r = np.nonzero(sums[0])
+                    yield pd.DataFrame({"submission_id": threads[t], "scenario": name, "run": r + 1, "c": sums[0][t, r], "x": sums[1][t, r], "h": sums[2][t, r]})
+
+    hits = rows.mapInPandas(run, "submission_id string, scenario string, run bigint, c bigint, x bigint, h bigint")
+    t = hits.groupBy("scenario", "run", "submission_id").agg(*[F.sum(c).alias(c) for c in "cxh"])
+    # The top threads of a run: ranks are cut by their bound before they are shuffled.
+    best = t.withColumn("_k", F.row_number().over(Window.partitionBy("scenario", "run").orderBy(F.desc("c"), "submission_id"))).filter(F.col("_k") <= top).groupBy("scenario", "run").agg(F.sum("c").alias("_top"))
+    all_ = instances.agg(F.count(F.lit(1)).alias("instances"), F.count_distinct("submission_id").alias("threads"))
+    grid = instances.sparkSession.range(1, runs + 1).select(F.col("id").alias("run"), F.explode(F.array(*[F.lit(n) for n in names])).alias("scenario"))
+    g = t.groupBy("scenario", "run").agg(F.sum("c").alias("correcting"), F.count(F.lit(1)).alias("active_threads"), F.sum("x").alias("_x"), F.sum("h").alias("_h")).join(best, ["scenario", "run"])
+    g = grid.join(F.broadcast(all_)).join(g, ["scenario", "run"], "left").fillna(0)  # one row
+    return g.select("scenario", "run", "instances", "correcting", "threads", "active_threads", safe_div(F.col("correcting"), F.col("instances")).alias("rate"), safe_div(F.col("active_threads"), F.col("threads")).alias("activation"), safe_div(F.col("_x"), F.col("correcting")).alias("cross_group_share"), safe_div(F.col("_h"), F.col("correcting")).alias("high_audience_share"), safe_div(F.col("_top"), F.col("correcting")).alias("top_share"))
+
+
+def uniforms(keys: np.ndarray, draws: int, seed: int) -> np.ndarray:
+    """Numbers in [0, 1), one row a key and one column a draw, that depend on key, draw and seed alone."""
+    with np.errstate(over="ignore"):
+        x = keys.astype(np.uint64)[:, None] + (np.arange(1, draws + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(seed * 2 + 1))[None, :]
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        x ^= x >> np.uint64(31)
+    return (x >> np.uint64(11)).astype(float) / float(1 << 53)
 
 
 def summarise(draws: DataFrame, by: str, values: list[str]) -> DataFrame:
@@ -92,14 +128,104 @@ def network_metrics(recs: DataFrame, reach: DataFrame) -> DataFrame:
     return base.join(F.broadcast(after)).join(F.broadcast(below))  # one row each
 
 
-def latent_draws(recs: DataFrame, probability: Column, shifted: Column, draws: int, seed: int = 1) -> DataFrame:
-    """draw, rate, shifted_rate: latent ranks conditioned on the observed outcome, shared by both scenarios.
+#: Draws handled at once for a batch of records.
+DRAWS = 100
+NETWORK = ("rate", "thread_coverage", "comments_after", "same_branch_reach")
 
-    A record with outcome 1 has a latent number below its probability, one with
-    outcome 0 above it; the scenario asks whether that number is below the shifted one.
+
+def network_draws(focal: DataFrame, comments: DataFrame, ancestors: DataFrame, designs: dict[str, tuple[Design, dict[str, Column]]], mixtures: dict[str, tuple[str, str, Column]], base: str, beta: np.ndarray, covariance: np.ndarray, draws: int, seed: int = 1) -> DataFrame:
+    """draw, scenario and four network metrics under coefficients drawn from N(beta, covariance).
+
+    focal: comment_id, submission_id, created_utc, outcome (0 or 1) and the
+    covariates. comments: comment_id, submission_id, created_utc of all comments
+    of the horizon. ancestors: (ancestor_id, descendant_id) of comments, the
+    ancestor being focal. designs: name -> design and overrides of its
+    columns; mixtures: scenario -> (design, alternative design, weight of the alternative per row).
+
+    Within a draw all scenarios share a focal comment's latent rank, a uniform number
+    conditioned on its observed outcome under ``base``. What a state needs to know
+    of others is put into its row beforehand: how many comments come after it in its thread, how
+    many lie below it, and the covariates of the focal comments above it. Then
+
+    - a thread's comments after its first correction are the most that come after any correcting one,
+    - a comment is reached by exactly one topmost correcting ancestor, so reach is the
+      sum of what lies below correcting comments with no correcting one above,
+
+    and a row's draws are sums and maxima in its own batch. Draws are a function of seed, draw and id.
     """
-    p = F.least(F.greatest(probability, F.lit(1e-9)), F.lit(1 - 1e-9))
-    u = recs.select("comment_id", "pred", p.alias("_p"), shifted.alias("_q"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    v = uniform(F.xxhash64("comment_id"), F.col("draw"), seed=seed)
-    latent = F.when(F.col("pred") == 1, v * F.col("_p")).otherwise(F.col("_p") + v * (1 - F.col("_p")))
-    return u.groupBy("draw").agg(F.avg("pred").alias("rate"), F.avg((latent < F.col("_q")).cast("int")).alias("shifted_rate"))
+    spark = focal.sparkSession
+    scratch = Scratch(spark, "network")
+    safe, _ = nearest_psd(np.asarray(covariance, float))
+    rng = np.random.default_rng(seed)
+    values, vectors = np.linalg.eigh(safe)
+    betas = np.asarray(beta, float) + rng.standard_normal((draws, len(beta))) @ (vectors * np.sqrt(np.maximum(values, 0))).T
+    names, mixed = list(designs), list(mixtures)
+    sides = [(a, b) for a, b, _ in mixtures.values()]
+    x = focal.select("comment_id", "submission_id", "created_utc", F.col("outcome").cast("int").alias("outcome"), F.xxhash64("comment_id").alias("key"), F.array(*[w.cast("double") for _, _, w in mixtures.values()]).alias("weights"))
+    for n, (design, overrides) in designs.items():
+        part = focal.withColumns(overrides).filter(design.complete()).select("comment_id", design.vector().alias(f"x_{n}"))
+        x = x.join(part, "comment_id")
+    x = scratch.keep(x)
+    # Comments after a focal one in its thread: ranks over thread and time, focal rows before comments of their second.
+    after = before(x.select("submission_id", "comment_id", (-F.col("created_utc")).alias("_at")), comments.select("submission_id", (-F.col("created_utc")).alias("_time")), "submission_id", "_at", "_time", {"after": F.lit(1)}, comments)
+    own = x.select(F.col("comment_id").alias("ancestor_id"))
+    reach = scratch.keep(ancestors.join(broadcast_if_small(own), "ancestor_id", "left_semi").join(comments.select(F.col("comment_id").alias("descendant_id")), "descendant_id", "left_semi"))
+    below = reach.groupBy(F.col("ancestor_id").alias("comment_id")).agg(F.count(F.lit(1)).alias("below"))
+    state = [c for c in x.columns if c not in ("submission_id", "created_utc", "comment_id")]
+    up = reach.join(x.select(F.col("comment_id").alias("ancestor_id"), F.struct(*state).alias("s")), "ancestor_id").join(own.withColumnRenamed("ancestor_id", "descendant_id"), "descendant_id", "left_semi")
+    up = up.groupBy(F.col("descendant_id").alias("comment_id")).agg(F.collect_list("s").alias("above"))  # as many as a path is long
+    full = x.join(after.select("comment_id", F.col("after").cast("bigint").alias("after")), "comment_id").join(below, "comment_id", "left").join(up, "comment_id", "left").fillna(0, ["below"])
+    full = scratch.keep(full)
+    shared = spark.sparkContext.broadcast(betas)
+
+    def states(rows: pd.DataFrame, lo: int, hi: int) -> np.ndarray:
+        """scenario x row x draw."""
+        b = shared.value[lo:hi]
+        p = {n: 1 / (1 + np.exp(-np.clip(np.stack(rows[f"x_{n}"].to_numpy()) @ b.T, -35, 35))) for n in names}
+        u = uniforms(rows["key"].to_numpy(np.int64), draws, seed)[:, lo:hi]
+        w = np.stack(rows["weights"].to_numpy())
+        seen = rows["outcome"].to_numpy()[:, None] == 1
+        rank = np.where(seen, u * p[base], p[base] + u * (1 - p[base]))
+        return np.stack([rank < (1 - w[:, [k]]) * p[one] + w[:, [k]] * p[other] for k, (one, other) in enumerate(sides)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for a in range(0, len(pdf), 1024):
+                rows = pdf.iloc[a : a + 1024].reset_index(drop=True)
+                threads, code = np.unique(rows["submission_id"].to_numpy(str), return_inverse=True)
+                lists = [list(v) if v is not None else [] for v in rows["above"]]
+                owner = np.repeat(np.arange(len(rows)), [len(v) for v in lists])
+                over = pd.DataFrame([dict(r.asDict() if hasattr(r, "asDict") else r) for v in lists for r in v])
+                for lo in range(0, draws, DRAWS):
+                    hi = min(draws, lo + DRAWS)
+                    on = states(rows, lo, hi)
+                    free = np.ones_like(on)
+                    if len(over):
+                        covered = states(over, lo, hi)
+                        for k in range(len(mixed)):
+                            hidden = np.zeros(on.shape[1:], int)
+                            np.add.at(hidden, owner, covered[k])
+                            free[k] = hidden == 0
+                    for k, name in enumerate(mixed):
+                        n, most, reached = (np.zeros((len(threads), hi - lo), np.int64) for _ in range(3))
+                        np.add.at(n, code, on[k])
+                        np.maximum.at(most, code, on[k] * rows["after"].to_numpy()[:, None])
+                        np.add.at(reached, code, on[k] * free[k] * rows["below"].to_numpy()[:, None])
+                        t, d = np.nonzero(n)
+                        yield pd.DataFrame({"submission_id": threads[t], "scenario": name, "draw": d + lo, "n": n[t, d], "after": most[t, d], "reached": reached[t, d]})
+
+    hits = full.mapInPandas(run, "submission_id string, scenario string, draw bigint, n bigint, after bigint, reached bigint")
+    t = hits.groupBy("scenario", "draw", "submission_id").agg(F.sum("n").alias("n"), F.max("after").alias("after"), F.sum("reached").alias("reached"))
+    g = t.groupBy("scenario", "draw").agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_t"), F.sum("after").alias("_a"), F.sum("reached").alias("_r"))
+    size = full.agg(F.count(F.lit(1)).alias("_focal"), F.count_distinct("submission_id").alias("_threads")).join(F.broadcast(comments.agg(F.count(F.lit(1)).alias("_comments"))))  # one row each
+    grid = spark.range(draws).select(F.col("id").alias("draw"), F.explode(F.array(*[F.lit(n) for n in mixed])).alias("scenario"))
+    g = grid.join(F.broadcast(size)).join(g, ["scenario", "draw"], "left").fillna(0)
+    return g.select("draw", "scenario", *[safe_div(F.col(a), F.col(b)).alias(n) for n, (a, b) in zip(NETWORK, (("_n", "_focal"), ("_t", "_threads"), ("_a", "_comments"), ("_r", "_comments")))])
+
+
+def against_baseline(draws: DataFrame, values: list[str], baseline: str = "baseline") -> DataFrame:
+    """Per scenario and metric: mean and 95 % interval, and those of the difference from the baseline of the same draw."""
+    long = draws.select("draw", "scenario", F.explode(F.array(*[F.struct(F.lit(v).alias("metric"), F.col(v).alias("v")) for v in values])).alias("_x")).select("draw", "scenario", "_x.*")
+    own = long.filter(F.col("scenario") == baseline).select("draw", "metric", F.col("v").alias("_b"))
+    d = long.join(own, ["draw", "metric"]).withColumn("_d", F.col("v") - F.col("_b"))
+    return d.groupBy("scenario", "metric").agg(F.avg("v").alias("estimate"), F.percentile("v", 0.025).alias("low"), F.percentile("v", 0.975).alias("high"), F.avg("_d").alias("difference"), F.percentile("_d", 0.025).alias("difference_low"), F.percentile("_d", 0.975).alias("difference_high"))

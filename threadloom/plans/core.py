@@ -40,6 +40,11 @@ def p4_paths(spark: SparkSession, root: str) -> DataFrame:
     return hierarchy.comment_hierarchy(table(spark, root, "comments"), every_path=True)
 
 
+def p4_path_texts(spark: SparkSession, root: str) -> DataFrame:
+    """As ``p4_paths``, the ids of a path joined by a slash, for engines and files without lists."""
+    return p4_paths(spark, root).withColumn("path", F.array_join("path", "/"))
+
+
 def p4_descendants(spark: SparkSession, root: str) -> DataFrame:
     return hierarchy.descendants(hierarchy.comment_hierarchy(table(spark, root, "comments"), every_path=True))
 
@@ -52,7 +57,7 @@ def p5_report(spark: SparkSession, root: str) -> DataFrame:
     return references.orphan_report(p5_found(spark, root))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_key_results, p3_rollup, p4_found, p4_paths, p4_descendants, p5_found, p5_report)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_key_results, p3_rollup, p4_found, p4_paths, p4_path_texts, p4_descendants, p5_found, p5_report)}
 
 _KEY = "lower(trim({}, ' ' || chr(9) || chr(10) || chr(13) || chr(160)))"
 _ID = "nullif(regexp_replace(lower(trim({}, ' ' || chr(9) || chr(10) || chr(13) || chr(160))), '^t[13]_', ''), '')"
@@ -112,4 +117,20 @@ SELECT id AS comment_id, ref_table, 'missing' AS finding, period FROM hit WHERE
 UNION ALL SELECT id, ref_table, 'deleted', period FROM hit WHERE gone
 UNION ALL SELECT id, ref_table, 'late', period FROM hit WHERE pt > t""",
 }
+# Up to the top, a submission or a comment that was met before: every ancestor once.
+_UP = f"""WITH RECURSIVE {_NODES},
+up(id, cur, path, n) AS (
+  SELECT id, id, [id], 0 FROM node
+  UNION ALL
+  SELECT u.id, p.id, list_prepend(p.id, u.path), u.n + 1 FROM up u JOIN node c ON c.id = u.cur JOIN node p ON p.id = c.p WHERE NOT c.sub AND NOT list_contains(u.path, p.id)),
+far AS (SELECT id, max(n) AS n, max_by(path, n) AS path, max_by(cur, n) AS top FROM up GROUP BY id),
+loops AS (SELECT f.id, t.p AS back FROM far f JOIN node t ON t.id = f.top WHERE NOT t.sub AND t.p IS NOT NULL AND list_contains(f.path, t.p)),
+ring AS (SELECT id, back = id AS on_cycle FROM loops),
+done AS (
+  SELECT f.id AS comment_id, CASE WHEN NOT n.sub THEN n.p END AS parent_id, CASE WHEN r.on_cycle THEN 'cycle' WHEN r.id IS NOT NULL THEN 'below_cycle' WHEN t.sub THEN 'tree' ELSE 'open' END AS kind,
+   CASE WHEN t.sub AND r.id IS NULL THEN (f.n + 1)::BIGINT END AS depth, CASE WHEN t.sub AND r.id IS NULL THEN t.p END AS root_submission, CASE WHEN r.id IS NULL THEN f.top END AS top_comment, CASE WHEN r.on_cycle THEN list_min(f.path) END AS cycle_id, n.level,
+   CASE WHEN t.sub AND r.id IS NULL THEN list_prepend(t.p, f.path) ELSE f.path END AS path
+  FROM far f JOIN node n ON n.id = f.id JOIN node t ON t.id = f.top LEFT JOIN ring r ON r.id = f.id)"""
+SQL["p4_path_texts"] = f"{_UP}\nSELECT * REPLACE (array_to_string(path, '/') AS path) FROM done"
+SQL["p4_descendants"] = f"{_UP}\nSELECT ancestor_id, comment_id AS descendant_id, (len(path) - k)::BIGINT AS distance FROM (SELECT comment_id, path, unnest(path) AS ancestor_id, generate_subscripts(path, 1) AS k FROM done) WHERE k < len(path)"
 SQL["p5_report"] = f"SELECT ref_table, period, finding, count(*) AS comments FROM ({SQL['p5_found']}) GROUP BY ALL"

@@ -218,9 +218,31 @@ def early_audience_metrics(spark, root):
     return profiles.audience(in_order(r).filter(F.col("rank") <= 10), profiles.user_profiles(r), "early_audience")
 
 
-@query()
+def _audience_cte(n: str, where: str, p: str) -> str:
+    """The audience of a thread as CTEs ``{n}``."""
+    ent = lambda c: f"(SELECT submission_id, -sum(p * ln(p)) AS e FROM (SELECT submission_id, n / sum(n) OVER (PARTITION BY submission_id) AS p FROM (SELECT submission_id, {c}, count(*) AS n FROM {n}u GROUP BY ALL)) GROUP BY 1)"
+    return f"""{n}u AS MATERIALIZED (SELECT a.submission_id, users.* FROM (SELECT DISTINCT submission_id, author FROM ord WHERE author IS NOT NULL{where}) a JOIN users USING (author)),
+{n} AS MATERIALIZED (SELECT submission_id, count(*) AS {p}_authors, avg(cross_group) AS {p}_cross_group_share, avg(cross_subreddit) AS {p}_cross_subreddit_share, avg(group_entropy) AS {p}_mean_group_entropy, avg(subreddit_entropy) AS {p}_mean_subreddit_entropy,
+ any_value(dg.e) AS {p}_dominant_group_entropy, any_value(ds.e) AS {p}_dominant_subreddit_entropy FROM {n}u JOIN {ent('dominant_group')} dg USING (submission_id) JOIN {ent('dominant_subreddit')} ds USING (submission_id) GROUP BY 1)"""
+
+
+_FULL = {"cue": "cue_entropy early_cue_entropy", "rep": "replies hostile_replies corrections_hit hostile_reply_rate", **{n: f"{p}_authors " + _A_D.format(p) for n, p in (("au", "audience"), ("ea", "early_audience"))}}
+_CLIMATE = f"""WITH {{USERS}}{THREADS[len(REC):]},
+cu AS (SELECT submission_id, rank, CASE WHEN pred = 1 THEN 'correction' WHEN anti = 1 THEN 'anti_institutional' WHEN hostile = 1 THEN 'hostility' ELSE 'other' END AS cue FROM ord),
+c1 AS (SELECT submission_id, -sum(p * ln(p)) AS e FROM (SELECT submission_id, n / sum(n) OVER (PARTITION BY submission_id) AS p FROM (SELECT submission_id, cue, count(*) AS n FROM cu GROUP BY ALL)) GROUP BY 1),
+c2 AS (SELECT submission_id, -sum(p * ln(p)) AS e FROM (SELECT submission_id, n / sum(n) OVER (PARTITION BY submission_id) AS p FROM (SELECT submission_id, cue, count(*) AS n FROM cu WHERE rank <= 10 GROUP BY ALL)) GROUP BY 1),
+cue AS (SELECT submission_id, c1.e AS cue_entropy, c2.e AS early_cue_entropy FROM c1 JOIN c2 USING (submission_id)),
+rc AS (SELECT comment_id AS parent_id, submission_id AS t FROM rec WHERE pred = 1),
+rep AS (SELECT submission_id, count(*) AS replies, sum(hostile)::BIGINT AS hostile_replies, count(DISTINCT parent_id) FILTER (hostile = 1 AND t = submission_id) AS corrections_hit, sum(hostile) / count(*) AS hostile_reply_rate FROM rec JOIN rc USING (parent_id) GROUP BY 1),
+{_audience_cte('au', '', 'audience')}, {_audience_cte('ea', ' AND rank <= 10', 'early_audience')},
+full_ AS MATERIALIZED (SELECT thread.*, {', '.join(f'coalesce({n}.{c}, 0) AS {c}' for n, cs in _FULL.items() for c in cs.split())} FROM thread LEFT JOIN cue USING (submission_id) LEFT JOIN rep USING (submission_id) LEFT JOIN au USING (submission_id) LEFT JOIN ea USING (submission_id)),
+cuts AS (SELECT {', '.join(f'quantile_disc({c}, 0.75) AS q_{c}' for c in profiles.FLAGGED)} FROM full_ WHERE comments >= 5)
+>>SELECT full_.*, {', '.join(f'(comments >= 5 AND {c} >= q_{c} AND {c} > 0)::INT AS high_{c}' for c in profiles.FLAGGED)} FROM full_, cuts"""
+
+
+@query(_CLIMATE, T_D + " cue_entropy early_cue_entropy hostile_reply_rate " + _A_D.format("audience") + " " + _A_D.format("early_audience"), T_L)
 def thread_climate(spark, root):
-    """The full climate profile with its flags (its parts have their own SQL)."""
+    """The full climate profile with its flags."""
     return profiles.climate_flags(profiles.climate(kept(spark, root)))
 
 
