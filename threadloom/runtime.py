@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest estimated size of a side that may be broadcast on request.
@@ -76,15 +76,20 @@ class Scratch:
         return self.counted(df)[0]
 
     def counted(self, df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
-        """As ``keep``, with counts of rows that were taken while writing, so no further job is needed."""
+        """As ``keep``, with counts of its rows, read back from what was written.
+
+        Not by an ``Observation``: a session that made one can no longer be
+        serialised, which the closures of some ML transformers need.
+        """
         self._count += 1
         path = f"{self.root}/{self._count}"
-        seen = Observation()
-        watched = df.observe(seen, *[F.count_if(c).alias(n) for n, c in counts.items()]) if counts else df
-        watched.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._scratch_path = path  # type: ignore[attr-defined]
-        return kept, {n: int(v or 0) for n, v in seen.get.items()} if counts else {}
+        if not counts:
+            return kept, {}
+        row = kept.agg(*[F.count_if(c).alias(n) for n, c in counts.items()]).first()
+        return kept, {n: int(row[n]) for n in counts}
 
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "_scratch_path", None)
