@@ -15,48 +15,96 @@ from threadloom.operators.estimation import Design, nearest_psd
 from threadloom.operators.history import before
 from threadloom.runtime import Scratch, broadcast_if_small
 
-#: Replicates drawn in one pass over the rows.
-AT_ONCE = 500
+#: Distinct scores in a slice of the bootstrap, slices of a group, scores of the sample that slices are cut by, and numbers that a block of replicates holds.
+SLICE_CELLS, SLICES, CUT_SAMPLE, BLOCK = 8192, 1024, 200_000, 1 << 20
 
 
 def bootstrap(df: DataFrame, replicates: int = 200, seed: int = 1, threshold: float = 0.5, y: str = "y", score: str = "score", by: list[str] | None = None) -> DataFrame:
     """[by,] replicate, average_precision, roc_auc, f1 of samples with replacement; one-class samples are left out.
 
     Every row gets, in every replicate, a Poisson(1) number of copies: the
-    resample of a table of which no part has to know the size of the whole. Rows
-    of one exact (score, label) are drawn together, as a Poisson(n) number of
-    copies; no score is rounded and nothing is collected. Draws are a function of
-    seed, replicate and cell. The metrics are sums over cells in the order of
-    scores, with prefix sums as in ``metrics.curve``.
+    resample of a table of which no part has to know the size of the whole. No
+    score is rounded and no row collected. A group's distinct scores are cut into slices;
+    copies of the positives and of the other rows of a slice are Poisson numbers, drawn from the slices' counts, and
+    given these the copies of its scores are multinomial, which makes every row's copies Poisson(1) again.
+    So a slice is drawn once and alone, and knows what lies above it. Rows without a positive
+    between two scores with one count only by their sum, so they are drawn as one cell.
+    Draws are a function of seed, group, slice and the slices' counts, and slices of the scores: partitions and batches change nothing.
     """
     by = by or []
-    cells = df.filter(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(score).cast("double").alias("_score"), F.col(y).cast("int").alias("_y")).agg(F.count(F.lit(1)).alias("_n"))
-    cells = Scratch(df.sparkSession, "bootstrap").keep(cells.withColumn("_cell", F.xxhash64(*by, "_score", "_y")))
-    out = None
-    for lo in range(0, replicates, AT_ONCE):
-        ids = list(range(lo, min(replicates, lo + AT_ONCE)))
-
-        def draw(batches: Iterator[pd.DataFrame], ids=ids) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                # One generator a cell and pass, so that partitions and batches change nothing.
-                w = np.stack([np.random.default_rng([seed, ids[0], int(c) & 0xFFFFFFFFFFFFFFFF]).poisson(n, len(ids)) for c, n in zip(pdf["_cell"], pdf["_n"])])
-                row, rep = np.nonzero(w)
-                part = pdf.iloc[row][[*by, "_score", "_y"]].reset_index(drop=True)
-                yield part.assign(replicate=np.array(ids, np.int64)[rep], _w=w[row, rep].astype(np.int64))
-
-        kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in by)
-        drawn = cells.mapInPandas(draw, f"{kinds}_score double, _y int, replicate bigint, _w bigint")
-        key = [*by, "replicate"]
-        ranked = metrics.ranking(drawn, "_y", "_score", key, weight="_w").filter((F.col("positives") > 0) & (F.col("n") > F.col("positives")))
-        hit = F.col("_score") >= threshold
-        at = drawn.groupBy(*key).agg(*[F.sum(F.when(c, F.col("_w")).otherwise(0)).alias(n) for n, c in (("_tp", hit & (F.col("_y") == 1)), ("_fp", hit & (F.col("_y") == 0)), ("_fn", ~hit & (F.col("_y") == 1)))])
-        one = ranked.join(at, key).select(*key, "average_precision", "roc_auc", safe_div(2 * F.col("_tp"), 2 * F.col("_tp") + F.col("_fp") + F.col("_fn")).alias("f1"))
-        out = one if out is None else out.unionByName(one)
+    scratch = Scratch(df.sparkSession, "bootstrap")
+    rows = df.filter(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(score).cast("double").alias("_score")).agg(F.count_if(F.col(y).cast("int") == 1).alias("_pos"), F.count(F.lit(1)).alias("_n"))
+    rows, seen = scratch.counted(rows.select(*by, F.xxhash64(*by, F.lit(seed)).alias("_g"), "_score", "_pos", (F.col("_n") - F.col("_pos")).alias("_neg"), (F.col("_score") >= threshold).alias("_hit")), n=F.lit(True))
+    cells = rows.withColumn("_slice", _slices(rows, seen["n"]))
+    key = ["_g", *by]
+    per = cells.groupBy(*key, "_slice").agg(F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"))
+    # At most SLICES rows a group.
+    per = per.withColumn("_all", F.array_sort(F.collect_list(F.struct("_slice", "_pos", "_neg")).over(Window.partitionBy(*key)))).select(*key, "_slice", *[F.col(f"_all.{c}").alias(f"{c}s") for c in ("_slice", "_pos", "_neg")])
+
+    def draw(mine: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
+        mine, group = mine.sort_values("_score", ascending=False, na_position="first"), group.iloc[0]  # NaN is Spark's greatest number
+        pos, neg, hit = (mine[c].to_numpy() for c in ("_pos", "_neg", "_hit"))
+        first = np.flatnonzero(np.r_[True, (pos[1:] > 0) | (pos[:-1] > 0) | (hit[1:] != hit[:-1])])
+        pos, neg, hit = np.add.reduceat(pos, first), np.add.reduceat(neg, first), hit[first]
+        own, slices = [seed, int(group["_g"]) & 0xFFFFFFFFFFFFFFFF], np.asarray(group["_slices"])
+        rng = np.random.default_rng([*own, 0])
+        all_pos, all_neg = (rng.poisson(np.asarray(group[c], np.int64)[:, None], (len(slices), replicates)) for c in ("_poss", "_negs"))
+        at, above, rng = slices == group["_slice"], slices > group["_slice"], np.random.default_rng([*own, int(group["_slice"]) + 1])
+        at_pos, at_neg, over_pos, over_neg = all_pos[at][0], all_neg[at][0], all_pos[above].sum(0), all_neg[above].sum(0)
+        all_pos, all_neg = all_pos.sum(0), all_neg.sum(0)
+        sums, step = [], max(1, BLOCK // len(pos))
+        for lo in range(0, replicates, step):
+            r = slice(lo, lo + step)
+            p, n = _dealt(rng, at_pos[r], pos), _dealt(rng, at_neg[r], neg)
+            tp, fp = over_pos[r, None] + p.cumsum(1), over_neg[r, None] + n.cumsum(1)
+            # Rank formula: each positive beats the negatives below it and half of those level with it.
+            sums.append(np.stack([(p * tp / np.maximum(tp + fp, 1)).sum(1), (p * (all_neg[r, None] - fp + n / 2)).sum(1), p[:, hit].sum(1), n[:, hit].sum(1)]))
+        ap, wins, tp, fp = np.concatenate(sums, 1)
+        out = {c: [mine[c].iloc[0]] * replicates for c in by} | {"replicate": np.arange(replicates), "_slice": np.full(replicates, group["_slice"])}
+        return pd.DataFrame(out | {"_ap": ap, "_wins": wins, "_tp": tp.astype(np.int64), "_fp": fp.astype(np.int64), "_pos": all_pos, "_neg": all_neg})
+
+    kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in by)
+    # Slices take long for their bytes: a given number of partitions, which adaptive execution doesn't join.
+    parts = min(SLICES, 1 + seen["n"] // (SLICE_CELLS // 4))
+    left, right = (t.repartition(parts, *key, "_slice").groupBy(*key, "_slice") for t in (cells, per))
+    drawn = left.cogroup(right).applyInPandas(draw, f"{kinds}replicate bigint, _slice int, _ap double, _wins double, _tp bigint, _fp bigint, _pos bigint, _neg bigint")
+    # Sums of fractions are taken in the slices' order: at most SLICES of a replicate.
+    ap = F.aggregate(F.array_sort(F.collect_list(F.struct("_slice", "_ap"))), F.lit(0.0), lambda a, x: a + x["_ap"])
+    total = drawn.groupBy(*by, "replicate").agg(ap.alias("_ap"), *[F.sum(c).alias(c) for c in ("_wins", "_tp", "_fp")], *[F.max(c).alias(c) for c in ("_pos", "_neg")]).filter((F.col("_pos") > 0) & (F.col("_neg") > 0))
+    return total.select(*by, "replicate", (F.col("_ap") / F.col("_pos")).alias("average_precision"), (F.col("_wins") / (F.col("_pos").cast("double") * F.col("_neg"))).alias("roc_auc"), safe_div(2 * F.col("_tp"), F.col("_tp") + F.col("_fp") + F.col("_pos")).alias("f1"))
+
+
+def _dealt(rng: np.random.Generator, total: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Copies of each cell, a row a replicate, where ``total`` copies fall on rows of which cells have ``counts``."""
+    out = np.zeros((len(total), len(counts)), np.int64)
+    some = np.flatnonzero(counts)
+    if len(some):
+        out[:, some] = rng.multinomial(total, counts[some] / counts.sum())
     return out
 
 
+def _slices(cells: DataFrame, n: int) -> Column:
+    """The slice that a score of a group lies in, rising with the score; bounds are scores of about equal distance in a sample by hash, the same at every run."""
+    if n <= SLICE_CELLS:
+        return F.lit(0)
+    one_in = -(-n // CUT_SAMPLE)
+    # About CUT_SAMPLE numbers are looked at, of which a group's bounds are at most SLICES - 1.
+    part = cells.filter(F.pmod(F.xxhash64("_score", F.lit("cut")), F.lit(one_in)) == 0).groupBy("_g").agg(F.array_sort(F.collect_list("_score")).alias("_all"))
+    step = F.greatest(F.lit(max(1, SLICE_CELLS // one_in)), F.ceil(F.size("_all") / SLICES).cast("int"))
+    cut = part.filter(F.size("_all") > step).select("_g", F.transform(F.sequence(step, F.size("_all") - 1, step), lambda i: F.get("_all", i)).alias("_cuts"))
+    bounds = {r["_g"]: np.array(r["_cuts"]) for r in cut.collect()}
+
+    @F.pandas_udf("int")
+    def find(g: pd.Series, score: pd.Series) -> pd.Series:
+        out, g, score = np.zeros(len(g), np.int32), g.to_numpy(), score.to_numpy()
+        for k in np.unique(g):
+            if k in bounds:
+                out[g == k] = np.searchsorted(bounds[k], score[g == k], side="right")
+        return pd.Series(out)
+
+    return find(F.col("_g"), F.col("_score"))
+
+
 def uniform(*keys: Column, seed: int = 0) -> Column:
     """A number in [0, 1) that depends on keys and seed only."""
     return F.shiftrightunsigned(F.xxhash64(*keys, F.lit(seed)), 11).cast("double") / float(1 << 53)
