@@ -199,3 +199,11 @@ def test_bootstrap_keeps_rows_few(spark):
     assert simulation.summarise(simulation.bootstrap(df, 200, by=["g"]), "g", ["roc_auc"]).count() == 2
     after = [n for k, n in written().items() if k not in before]
     assert 0 < sum(after) < 100_000
+
+
+def test_bootstrap_is_one_plan(spark):
+    """The plan that the driver holds is the same for any number of resamples: no part of it is repeated per so many of them; no rows give no draws."""
+    df = spark.range(50).select((F.col("id") / 50).alias("score"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+    few, many = (simulation.bootstrap(df, n)._jdf.queryExecution().executedPlan().toString() for n in (10, 2000))
+    assert few.count("Exchange") == many.count("Exchange") < 8 and "Union" not in many
+    assert simulation.bootstrap(df.limit(0), 10).count() == 0
