@@ -41,6 +41,14 @@ def bootstrap(df: DataFrame, replicates: int = 200, seed: int = 1, threshold: fl
     # At most SLICES rows a group.
     per = per.withColumn("_all", F.array_sort(F.collect_list(F.struct("_slice", "_pos", "_neg")).over(Window.partitionBy(*key)))).select(*key, "_slice", *[F.col(f"_all.{c}").alias(f"{c}s") for c in ("_slice", "_pos", "_neg")])
 
+    def dealt(rng: np.random.Generator, total: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Copies of each cell, a row a replicate, where ``total`` copies fall on rows of which cells have ``counts``."""
+        out = np.zeros((len(total), len(counts)), np.int64)
+        some = np.flatnonzero(counts)
+        if len(some):
+            out[:, some] = rng.multinomial(total, counts[some] / counts.sum())
+        return out
+
     def draw(mine: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
         mine, group = mine.sort_values("_score", ascending=False, na_position="first"), group.iloc[0]  # NaN is Spark's greatest number
         pos, neg, hit = (mine[c].to_numpy() for c in ("_pos", "_neg", "_hit"))
@@ -55,7 +63,7 @@ def bootstrap(df: DataFrame, replicates: int = 200, seed: int = 1, threshold: fl
         sums, step = [], max(1, BLOCK // len(pos))
         for lo in range(0, replicates, step):
             r = slice(lo, lo + step)
-            p, n = _dealt(rng, at_pos[r], pos), _dealt(rng, at_neg[r], neg)
+            p, n = dealt(rng, at_pos[r], pos), dealt(rng, at_neg[r], neg)
             tp, fp = over_pos[r, None] + p.cumsum(1), over_neg[r, None] + n.cumsum(1)
             # Rank formula: each positive beats the negatives below it and half of those level with it.
             sums.append(np.stack([(p * tp / np.maximum(tp + fp, 1)).sum(1), (p * (all_neg[r, None] - fp + n / 2)).sum(1), p[:, hit].sum(1), n[:, hit].sum(1)]))
@@ -74,15 +82,6 @@ def bootstrap(df: DataFrame, replicates: int = 200, seed: int = 1, threshold: fl
     return total.select(*by, "replicate", (F.col("_ap") / F.col("_pos")).alias("average_precision"), (F.col("_wins") / (F.col("_pos").cast("double") * F.col("_neg"))).alias("roc_auc"), safe_div(2 * F.col("_tp"), F.col("_tp") + F.col("_fp") + F.col("_pos")).alias("f1"))
 
 
-def _dealt(rng: np.random.Generator, total: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Copies of each cell, a row a replicate, where ``total`` copies fall on rows of which cells have ``counts``."""
-    out = np.zeros((len(total), len(counts)), np.int64)
-    some = np.flatnonzero(counts)
-    if len(some):
-        out[:, some] = rng.multinomial(total, counts[some] / counts.sum())
-    return out
-
-
 def _slices(cells: DataFrame, n: int) -> Column:
     """The slice that a score of a group lies in, rising with the score; bounds are scores of about equal distance in a sample by hash, the same at every run."""
     if n <= SLICE_CELLS:
