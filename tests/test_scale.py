@@ -207,3 +207,12 @@ def test_bootstrap_is_one_plan(spark):
     few, many = (simulation.bootstrap(df, n)._jdf.queryExecution().executedPlan().toString() for n in (10, 2000))
     assert few.count("Exchange") == many.count("Exchange") < 8 and "Union" not in many
     assert simulation.bootstrap(df.limit(0), 10).count() == 0
+
+
+def test_bootstrap_broadcasts_nothing(spark):
+    """The plan as it ran sends no drawn rows through the driver: they are many times what they are drawn from, which a planner may not foresee."""
+    df = spark.range(300).select((F.col("id") / 300).alias("score"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+    draws = simulation.bootstrap(df, 20)
+    assert len(draws.collect()) == 20
+    ran = draws._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in ran and "Broadcast" not in ran
